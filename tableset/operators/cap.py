@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableset.operators.spread import lookup
 from tableset.session import durable
 
 # Caps up to this size are taken by a plain top-n.
@@ -34,25 +35,34 @@ def cap(df: DataFrame, n: int, id_col: str = "_id", top_n_limit: int = TOP_N_LIM
     return df if last is None else df.filter(F.col(id_col) <= F.lit(last["_last_id"]))
 
 
-def cap_by_key(df: DataFrame, limits: DataFrame, key: str, limit_col: str, id_col: str = "_id") -> DataFrame:
+def cap_by_key(
+    df: DataFrame, limits: DataFrame, key: str, limit_col: str, id_col: str = "_id", small: bool | None = None
+) -> DataFrame:
     """Per ``key`` the first ``limit_col`` rows by ``id_col`` (unique per key); -1 keeps all.
 
     ``limits`` has one row per key; rows of other keys are kept whole. Only the ids of
     capped keys are shuffled. The cut of a key is one id, so the rows meet a table with
-    one row per capped key.
+    one row per capped key, broadcast when small (see ``lookup``).
     """
     capped = limits.filter(F.col(limit_col) != UNLIMITED).select(
         F.col(key).alias("_set"), F.col(limit_col).cast("long").alias("_limit")
     )
-    ids = df.select(F.col(key).alias("_set"), F.col(id_col).alias("_id")).join(
-        capped.filter("_limit > 0").select("_set"), "_set", "left_semi"
+    ids = lookup(
+        df.select(F.col(key).alias("_set"), F.col(id_col).alias("_id")),
+        capped.filter("_limit > 0"), ["_set"], "_id", how="inner", small=small,
     )
-    cuts = nth_ids(ids, capped.filter("_limit > 0")).unionByName(
-        capped.filter("_limit = 0").select("_set", F.lit(None).alias("_last_id")).withColumn("_none", F.lit(True)),
-        allowMissingColumns=True,
+    cuts = durable(
+        nth_ids(ids, capped.filter("_limit > 0"))
+        .withColumn("_none", F.lit(False))
+        .unionByName(
+            capped.filter("_limit = 0").select("_set", F.lit(True).alias("_none")), allowMissingColumns=True
+        )
+        .withColumnRenamed("_set", key)
+    )
+    joined = lookup(df, cuts, [key], id_col, small=small)
+    keep = ~F.coalesce(F.col("_none"), F.lit(False)) & (
+        F.col("_last_id").isNull() | (F.col(id_col) <= F.col("_last_id"))
     )
-    joined = df.join(cuts.withColumnRenamed("_set", key), key, "left")
-    keep = F.col("_none").isNull() & (F.col("_last_id").isNull() | (F.col(id_col) <= F.col("_last_id")))
     return joined.filter(keep).drop("_last_id", "_none")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableset.functions.json import canonical_json, compare_status
+from tableset.operators.spread import lookup
 from tableset.schemas import CHANGELOG_KEYS
 
 
@@ -67,32 +68,25 @@ def definition_status(desired: DataFrame, live: DataFrame, key: str = "name") ->
     return compared.withColumn("status", status).drop("_live", "_status")
 
 
-# Tasks over which one join key is spread when very many rows may share it.
-SALTS = 64
-
-
 def using_changed(
-    sets: DataFrame, changed: DataFrame, set_pipeline: Column, spread_by: str, key: str = "name"
+    sets: DataFrame,
+    changed: DataFrame,
+    set_pipeline: Column,
+    spread_by: str,
+    key: str = "name",
+    small: bool | None = None,
 ) -> DataFrame:
     """Add ``pipeline_changed``: whether the pipeline of a row is among ``changed``.
 
     ``changed`` is unique per ``key``, so no row is multiplied. A blank pipeline becomes a
-    NULL key, which never matches. The key is salted by ``spread_by`` (unique per row), so
-    neither the sets without a pipeline nor those of one popular pipeline gather in one
-    task; only the short list of changed names is repeated per salt.
+    NULL key, which never matches. One pipeline may serve very many sets, see ``lookup``.
     """
-    left = sets.withColumn("_pipeline", F.when(set_pipeline != "", set_pipeline)).withColumn(
-        "_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-    )
-    right = changed.select(
-        F.col(key).alias("_pipeline"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
-        F.lit(True).alias("pipeline_changed"),
-    )
+    flags = changed.select(F.col(key).alias("_pipeline"), F.lit(True).alias("pipeline_changed"))
+    marked = sets.withColumn("_pipeline", F.when(set_pipeline != "", set_pipeline))
     return (
-        left.join(right, ["_pipeline", "_salt"], "left")
+        lookup(marked, flags, ["_pipeline"], spread_by, small=small)
         .withColumn("pipeline_changed", F.coalesce(F.col("pipeline_changed"), F.lit(False)))
-        .drop("_pipeline", "_salt")
+        .drop("_pipeline")
     )
 
 

@@ -6,20 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableset.functions.text import ACTION_OPEN, include_names, include_segments, strip_comments
+from tableset.operators.spread import lookup, measure
 
-# Tasks over which the uses of one include are spread when includes are joined.
-SALTS = 16
 # An includes table up to this size is handed to every task as one map.
 MAX_MAP_BYTES = 8 << 20
 MAX_MAP_ROWS = 1000
 
 
 def _fits_in_a_map(includes: DataFrame) -> bool:
-    size = includes.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.octet_length("content") + F.octet_length("name")), F.lit(0)).alias("bytes"),
-    ).first()
-    return size["rows"] <= MAX_MAP_ROWS and size["bytes"] <= MAX_MAP_BYTES
+    rows, size = measure(includes.select("name", "content"))
+    return rows <= MAX_MAP_ROWS and size <= MAX_MAP_BYTES
 
 
 def _rebuild(df: DataFrame, text: str, found: Column) -> DataFrame:
@@ -48,8 +44,8 @@ def expand_includes(
 
     The size of ``includes`` is measured (or stated by ``small``). A small table becomes
     one map, and the texts are not shuffled at all. Beyond that, the distinct
-    (``key``, name) pairs, without the texts, are joined to the includes, and each key
-    gets back only what it uses.
+    (``key``, name) pairs, without the texts, are joined to the includes (salted, as one
+    name may be used everywhere), and each key gets back only what it uses.
     """
     if small is None:
         small = _fits_in_a_map(includes)
@@ -65,18 +61,12 @@ def expand_includes(
         return _rebuild(prepared.withColumn("_found", table), text, F.col("_found")).drop(
             "_names", "_segments", "_found"
         )
-    # A name may be used by a large share of all rows: its uses are spread by a salt.
-    uses = (
-        df.select(key, F.explode(F.array_distinct(include_names(F.coalesce(F.col(text), F.lit(""))))).alias("name"))
-        .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    )
-    salted = includes.select(
-        "name",
-        F.col("content").alias("_content"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+    uses = df.select(
+        key, F.explode(F.array_distinct(include_names(F.coalesce(F.col(text), F.lit(""))))).alias("name")
     )
+    contents = includes.select("name", F.col("content").alias("_content"))
     found = (
-        uses.join(salted, ["name", "_salt"])
+        lookup(uses, contents, ["name"], key, how="inner", small=False, salts=16)
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("name", "_content"))).alias("_found"))
     )

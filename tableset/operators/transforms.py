@@ -3,7 +3,8 @@
 A step is a one-key mapping, ``{"lowercase": {"field": "lang"}}``. Steps are declared in
 JSON as ``{"description": ..., "processors": [...]}``, stored by name, and applied while
 documents are copied. A document that a step cannot handle is marked in ``_failure`` and
-keeps its other values; nothing is dropped except by a ``drop`` step.
+keeps its other values. A ``drop`` step marks the document in ``_dropped``; marked
+documents stay in the frame so that they can be counted.
 """
 
 from __future__ import annotations
@@ -42,10 +43,18 @@ def failure(cause_type: str, reason: Column | str) -> Column:
 
 
 def mark(df: DataFrame, broken: Column, cause_type: str, reason: Column | str) -> DataFrame:
-    """Record the first failure of a row."""
-    return df.withColumn(
-        "_failure", F.when(F.col("_failure").isNull() & broken, failure(cause_type, reason)).otherwise(F.col("_failure"))
-    )
+    """Record the first failure of a row that is not dropped."""
+    first = F.col("_failure").isNull() & ~F.col("_dropped") & broken
+    return df.withColumn("_failure", F.when(first, failure(cause_type, reason)).otherwise(F.col("_failure")))
+
+
+def with_marks(df: DataFrame) -> DataFrame:
+    """Add the mark columns unless they are there."""
+    if "_failure" not in df.columns:
+        df = df.withColumn("_failure", F.lit(None).cast(FAILURE))
+    if "_dropped" not in df.columns:
+        df = df.withColumn("_dropped", F.lit(False))
+    return df
 
 
 def _field(df: DataFrame, name: str) -> Column:
@@ -108,7 +117,8 @@ def _date(df: DataFrame, spec: dict) -> DataFrame:
 
 
 def _drop(df: DataFrame, spec: dict) -> DataFrame:
-    return df.filter(~F.coalesce(F.expr(spec["if"]), F.lit(False)))
+    matched = F.coalesce(F.expr(spec["if"]), F.lit(False)) & F.col("_failure").isNull()
+    return df.withColumn("_dropped", F.col("_dropped") | matched)
 
 
 STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
@@ -127,9 +137,8 @@ STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
 
 
 def apply_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    """Apply the steps in order; no step shuffles. Adds ``_failure`` (NULL for good rows)."""
-    if "_failure" not in df.columns:
-        df = df.withColumn("_failure", F.lit(None).cast(FAILURE))
+    """Apply the steps in order; no step shuffles. Adds ``_failure`` and ``_dropped``."""
+    df = with_marks(df)
     for step in steps:
         ((name, spec),) = step.items()
         if name not in STEPS:
@@ -144,8 +153,7 @@ def fit_to_schema(df: DataFrame, schema: T.StructType, carry: Sequence[str] = ("
     Undeclared columns are left out, absent ones are NULL. A rejected row keeps its typed
     columns NULL where the cast failed.
     """
-    if "_failure" not in df.columns:
-        df = df.withColumn("_failure", F.lit(None).cast(FAILURE))
+    df = with_marks(df)
     columns = []
     for field in schema.fields:
         if field.name not in df.columns:
@@ -162,4 +170,4 @@ def fit_to_schema(df: DataFrame, schema: T.StructType, carry: Sequence[str] = ("
         )
         df = mark(df, value.isNotNull() & fitted.isNull(), "mapper_parsing_exception", reason)
         columns.append(fitted.alias(field.name))
-    return df.select(*carry, *columns, "_failure")
+    return df.select(*carry, *columns, "_failure", "_dropped")

@@ -77,3 +77,18 @@ def cas_upsert(base: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFram
 def delete_keys(base: DataFrame, keys: DataFrame, on: Sequence[str] = ("_id",)) -> DataFrame:
     """Base without the given keys."""
     return base.join(keys.select(*on), list(on), "left_anti")
+
+
+def write_outcomes(base: DataFrame, updates: DataFrame, keys: Sequence[str] = ("_id",)) -> DataFrame:
+    """Updates with ``outcome``: rejected (``valid`` is false), updated (key is stored) or created."""
+    stored = base.select(*keys, F.lit(True).alias("_stored"))
+    return (
+        updates.join(stored, list(keys), "left")
+        .withColumn(
+            "outcome",
+            F.when(~F.col("valid"), F.lit("rejected"))
+            .when(F.col("_stored"), F.lit("updated"))
+            .otherwise(F.lit("created")),
+        )
+        .drop("_stored")
+    )

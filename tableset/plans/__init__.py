@@ -1,0 +1 @@
+"""Whole jobs: desired state, change set, copies, documents, baseline, migration."""

@@ -40,7 +40,7 @@ CHANGE_SET = T.StructType.fromDDL(
     "stage INT, key STRING, step INT, action STRING, target STRING, source STRING, "
     "max_docs INT, pipeline STRING, definition STRING, meta STRING"
 )
-VERSION = T.StructType.fromDDL("version_name STRING, definition STRING, layout STRING")
+VERSION = T.StructType.fromDDL("version_name STRING, definition STRING, layout STRING, folder STRING")
 REPORT = T.StructType.fromDDL(
     "total LONG, created LONG, updated LONG, rejected LONG, dropped LONG, done LONG, "
     "first_failure STRUCT<id: STRING, cause_type: STRING, cause_reason: STRING>"

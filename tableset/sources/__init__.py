@@ -1,0 +1 @@
+"""Reading and writing: resource trees and the stored tables."""
