@@ -2,9 +2,9 @@
 
 A step is a one-key mapping, ``{"lowercase": {"field": "lang"}}``. Steps are declared in
 JSON as ``{"description": ..., "processors": [...]}``, stored by name, and applied while
-documents are copied. A document that a step cannot handle is marked in ``_failure`` and
-keeps its other values. A ``drop`` step marks the document in ``_dropped``; marked
-documents stay in the frame so that they can be counted.
+documents are copied. The first thing that happens to a document, a failure or a drop, is
+kept in ``_mark``; what comes after it does not count. Marked documents stay in the frame
+so that they can be counted and reported.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ CONVERT_TYPES = {
 }
 DATE_TARGET = "@timestamp"
 
+# The mark of a dropped document.
+DROPPED = "dropped"
+
 
 def parse_steps(definition: str) -> list[Step]:
     """Steps of one stored definition; a blank definition is the identity."""
@@ -43,18 +46,12 @@ def failure(cause_type: str, reason: Column | str) -> Column:
 
 
 def mark(df: DataFrame, broken: Column, cause_type: str, reason: Column | str) -> DataFrame:
-    """Record the first failure of a row that is not dropped."""
-    first = F.col("_failure").isNull() & ~F.col("_dropped") & broken
-    return df.withColumn("_failure", F.when(first, failure(cause_type, reason)).otherwise(F.col("_failure")))
+    """Mark rows, unless something happened to them before."""
+    return df.withColumn("_mark", F.coalesce(F.col("_mark"), F.when(broken, failure(cause_type, reason))))
 
 
 def with_marks(df: DataFrame) -> DataFrame:
-    """Add the mark columns unless they are there."""
-    if "_failure" not in df.columns:
-        df = df.withColumn("_failure", F.lit(None).cast(FAILURE))
-    if "_dropped" not in df.columns:
-        df = df.withColumn("_dropped", F.lit(False))
-    return df
+    return df if "_mark" in df.columns else df.withColumn("_mark", F.lit(None).cast(FAILURE))
 
 
 def _field(df: DataFrame, name: str) -> Column:
@@ -117,8 +114,7 @@ def _date(df: DataFrame, spec: dict) -> DataFrame:
 
 
 def _drop(df: DataFrame, spec: dict) -> DataFrame:
-    matched = F.coalesce(F.expr(spec["if"]), F.lit(False)) & F.col("_failure").isNull()
-    return df.withColumn("_dropped", F.col("_dropped") | matched)
+    return mark(df, F.expr(spec["if"]), DROPPED, F.lit(None))
 
 
 STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
@@ -137,7 +133,7 @@ STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
 
 
 def apply_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    """Apply the steps in order; no step shuffles. Adds ``_failure`` and ``_dropped``."""
+    """Apply the steps in order; no step shuffles. Adds ``_mark``."""
     df = with_marks(df)
     for step in steps:
         ((name, spec),) = step.items()
@@ -163,6 +159,9 @@ def fit_to_schema(df: DataFrame, schema: T.StructType, carry: Sequence[str] = ("
         if isinstance(df.schema[field.name].dataType, (T.ArrayType, T.MapType, T.StructType)):
             columns.append(F.to_json(value).cast(field.dataType).alias(field.name))
             continue
+        if df.schema[field.name].dataType == field.dataType:
+            columns.append(value.alias(field.name))
+            continue
         fitted = value.try_cast(field.dataType)
         reason = F.concat(
             F.lit(f"failed to parse field [{field.name}] of type [{field.dataType.simpleString()}]: "),
@@ -170,4 +169,14 @@ def fit_to_schema(df: DataFrame, schema: T.StructType, carry: Sequence[str] = ("
         )
         df = mark(df, value.isNotNull() & fitted.isNull(), "mapper_parsing_exception", reason)
         columns.append(fitted.alias(field.name))
-    return df.select(*carry, *columns, "_failure", "_dropped")
+    return df.select(*carry, *columns, "_mark")
+
+
+def outcome(mark_col: str = "_mark") -> Column:
+    """created, dropped or rejected."""
+    kind = F.col(mark_col)["cause_type"]
+    return (
+        F.when(kind.isNull(), F.lit("created"))
+        .when(kind == DROPPED, F.lit("dropped"))
+        .otherwise(F.lit("rejected"))
+    )

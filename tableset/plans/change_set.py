@@ -231,9 +231,8 @@ def action_text(changes: DataFrame, membership: DataFrame, env: str) -> DataFram
     pair = F.format_string(ALIAS_STRING, "alias", "version_name")
     removed = (
         removals(changes, membership)
-        .groupBy(F.col("alias").alias("source"))
+        .groupBy(F.col("alias").alias("_line"))
         .agg(F.array_join(F.array_sort(F.collect_list(pair)), ", ").alias("_removed"))
-        .withColumn("action", F.lit("update_alias"))
     )
     a, via = F.col("action"), F.coalesce("pipeline", F.lit(""))
     alias = F.format_string(ALIAS_STRING, "source", "target")
@@ -259,4 +258,8 @@ def action_text(changes: DataFrame, membership: DataFrame, env: str) -> DataFram
         .when(a == "put_pipeline", F.format_string(PUT_PIPELINE, "target"))
         .when(a == "index_document", F.format_string(INDEX_DOCUMENT, "target", "source"))
     )
-    return changes.join(removed, ["action", "source"], "left").withColumn("text", text).drop("_removed")
+    # Only alias updates look something up; every other row has a key of its own, so that
+    # the many rows with one and the same source do not meet in one task.
+    own = F.concat_ws("/", F.lit(""), "stage", "key", "step")
+    lines = changes.withColumn("_line", F.when(a == "update_alias", F.col("source")).otherwise(own))
+    return lines.join(removed, "_line", "left").withColumn("text", text).drop("_removed", "_line")

@@ -48,6 +48,6 @@ def parse_documents(writes: DataFrame, schema: T.StructType, carry: tuple[str, .
     parsed = writes.select(*carry, *columns, valid_object("_source").alias("_valid"))
     fitted = fit_to_schema(parsed, schema, carry=(*carry, "_valid"))
     bad = failure("mapper_parsing_exception", "document to index wasn't valid json")
-    return fitted.withColumn("_failure", F.when(~F.col("_valid"), bad).otherwise(F.col("_failure"))).drop(
-        "_valid", "_dropped"
+    return fitted.withColumn("_failure", F.when(~F.col("_valid"), bad).otherwise(F.col("_mark"))).drop(
+        "_valid", "_mark"
     )

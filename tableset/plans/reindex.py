@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tableset.operators.cap import TOP_N_LIMIT, UNLIMITED, cap
 from tableset.operators.latest import first_by
 from tableset.operators.report import outcome_report
-from tableset.operators.transforms import Step, apply_steps, fit_to_schema
+from tableset.operators.transforms import Step, apply_steps, fit_to_schema, outcome
 
 
 def newest_per_id(src: DataFrame, version_col: str = "version_name", also: Sequence[str] = ()) -> DataFrame:
@@ -19,21 +19,12 @@ def newest_per_id(src: DataFrame, version_col: str = "version_name", also: Seque
     return first_by(src, [*also, "_id"], [F.col(version_col).desc()])
 
 
-def outcome() -> Column:
-    """What became of a copied document."""
-    return (
-        F.when(F.col("_dropped"), F.lit("dropped"))
-        .when(F.col("_failure").isNotNull(), F.lit("rejected"))
-        .otherwise(F.lit("created"))
-    )
-
-
 def copy_rows(
     src: DataFrame, schema: T.StructType, steps: Sequence[Step] = (), carry: tuple[str, ...] = ("_id",)
 ) -> DataFrame:
     """Every source document with its new columns, ``_failure`` and ``outcome``. No shuffle."""
     fitted = fit_to_schema(apply_steps(src, steps), schema, carry)
-    return fitted.withColumn("outcome", outcome()).drop("_dropped")
+    return fitted.withColumn("outcome", outcome()).withColumnRenamed("_mark", "_failure")
 
 
 def reindex(

@@ -6,46 +6,39 @@ import json
 
 from pyspark.sql import types as T
 
-RESOURCE = T.StructType.fromDDL(
-    "path STRING, file_name STRING, identifier STRING, env STRING, content STRING"
+STRING, LONG, INT, BOOLEAN, TIMESTAMP = (
+    T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
 )
-INDEX_SET_META = T.StructType.fromDDL(
-    "index STRING, prototype STRUCT<disabled: BOOLEAN, max_docs: INT>, reindex STRUCT<pipeline: STRING>"
-)
-DOCUMENT_META = T.StructType.fromDDL("ignored BOOLEAN")
-INDEX_SET = T.StructType(
-    [
-        T.StructField("index_set", T.StringType()),
-        T.StructField("env", T.StringType()),
-        T.StructField("content", T.StringType()),
-        T.StructField("meta", INDEX_SET_META),
-    ]
-)
-DOCUMENT = T.StructType(
-    [
-        T.StructField("index_set", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("content", T.StringType()),
-        T.StructField("meta", DOCUMENT_META),
-    ]
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, type_) for name, type_ in fields.items()])
+
+
+RESOURCE = struct(path=STRING, file_name=STRING, identifier=STRING, env=STRING, content=STRING)
+INDEX_SET_META = struct(
+    index=STRING, prototype=struct(disabled=BOOLEAN, max_docs=INT), reindex=struct(pipeline=STRING)
 )
-PIPELINE = T.StructType.fromDDL("name STRING, definition STRING")
-INCLUDE = T.StructType.fromDDL("name STRING, content STRING")
-CHANGELOG = T.StructType.fromDDL(
-    "resource_type STRING, resource_identifier STRING, final_name STRING, env_name STRING, "
-    "content STRING, meta STRING, timestamp TIMESTAMP, entry_seq LONG"
+DOCUMENT_META = struct(ignored=BOOLEAN)
+INDEX_SET = struct(index_set=STRING, env=STRING, content=STRING, meta=INDEX_SET_META)
+DOCUMENT = struct(index_set=STRING, name=STRING, content=STRING, meta=DOCUMENT_META)
+PIPELINE = struct(name=STRING, definition=STRING)
+INCLUDE = struct(name=STRING, content=STRING)
+CHANGELOG = struct(
+    resource_type=STRING, resource_identifier=STRING, final_name=STRING, env_name=STRING,
+    content=STRING, meta=STRING, timestamp=TIMESTAMP, entry_seq=LONG,
 )
-MEMBERSHIP = T.StructType.fromDDL("alias STRING, version_name STRING")
-CHANGE_SET = T.StructType.fromDDL(
-    "stage INT, key STRING, step INT, action STRING, target STRING, source STRING, "
-    "max_docs INT, pipeline STRING, definition STRING, meta STRING"
+MEMBERSHIP = struct(alias=STRING, version_name=STRING)
+CHANGE_SET = struct(
+    stage=INT, key=STRING, step=INT, action=STRING, target=STRING, source=STRING,
+    max_docs=INT, pipeline=STRING, definition=STRING, meta=STRING,
 )
-VERSION = T.StructType.fromDDL("version_name STRING, definition STRING, layout STRING, folder STRING")
-REPORT = T.StructType.fromDDL(
-    "total LONG, created LONG, updated LONG, rejected LONG, dropped LONG, done LONG, "
-    "first_failure STRUCT<id: STRING, cause_type: STRING, cause_reason: STRING>"
+VERSION = struct(version_name=STRING, definition=STRING, layout=STRING, folder=STRING)
+FAILURE = struct(cause_type=STRING, cause_reason=STRING)
+REPORT = struct(
+    total=LONG, created=LONG, updated=LONG, rejected=LONG, dropped=LONG, done=LONG,
+    first_failure=struct(id=STRING, cause_type=STRING, cause_reason=STRING),
 )
-FAILURE = "struct<cause_type:string,cause_reason:string>"
 
 CHANGELOG_KEYS = ("resource_type", "resource_identifier", "env_name")
 

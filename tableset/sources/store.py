@@ -26,7 +26,17 @@ from pyspark.sql import types as T
 from tableset.operators.aliases import swap, unreferenced
 from tableset.operators.spread import lookup
 from tableset.operators.upsert import delete_keys, upsert
-from tableset.schemas import CHANGELOG, FAILURE, MEMBERSHIP, PIPELINE, VERSION, declared_schema
+from tableset.schemas import (
+    CHANGELOG,
+    FAILURE,
+    LONG,
+    MEMBERSHIP,
+    PIPELINE,
+    STRING,
+    VERSION,
+    declared_schema,
+    struct,
+)
 
 _SNAPSHOT = re.compile(r"snapshot=(\d+)$")
 
@@ -220,8 +230,8 @@ def log_rows(rows: DataFrame) -> DataFrame:
 
 def stored_schema(schema: T.StructType) -> T.StructType:
     """Columns of a stored version: id, sequence number, declared columns, failure, folders."""
-    head = T.StructType.fromDDL("_id STRING, _seq_no LONG")
-    tail = T.StructType.fromDDL(f"_failure {FAILURE}, folder STRING, outcome STRING")
+    head = struct(_id=STRING, _seq_no=LONG)
+    tail = struct(_failure=FAILURE, folder=STRING, outcome=STRING)
     return T.StructType([*head.fields, *schema.fields, *tail.fields])
 
 
