@@ -7,25 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableset.functions.json import canonical_json, compare_status
+from tableset.functions.json import compare_digests, object_digest
 from tableset.operators.spread import lookup
 from tableset.schemas import CHANGELOG_KEYS
 
 
-def compare_texts(df: DataFrame, required: str, current: str, into: str) -> DataFrame:
-    """Add the ``same``/``changed``/``error`` status of two JSON text columns.
+def with_digest(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Add what a comparison needs of a JSON text: ``{into}_empty`` and ``{into}_digest``."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumns({f"{into}_empty": value == "", f"{into}_digest": object_digest(value)})
 
-    Byte-equal texts are parsed once, for validity only; that is the usual case in a run
-    with few changes.
-    """
-    r, c = F.col("_required"), F.col("_current")
-    return (
-        df.withColumn("_required", F.coalesce(F.col(required), F.lit("")))
-        .withColumn("_current", F.coalesce(F.col(current), F.lit("")))
-        .withColumn("_required_form", canonical_json(r))
-        .withColumn("_current_form", F.when(r == c, F.col("_required_form")).otherwise(canonical_json(c)))
-        .withColumn(into, compare_status(r, c, F.col("_required_form"), F.col("_current_form")))
-        .drop("_required", "_current", "_required_form", "_current_form")
+
+def digest_status(required: str, current: str) -> Column:
+    return compare_digests(
+        *[F.col(f"{side}_{part}") for part in ("empty", "digest") for side in (required, current)]
     )
 
 
@@ -35,25 +30,21 @@ def change_status(
     """Desired rows with ``status`` against the latest log rows: new, changed, same or error.
 
     ``desired`` holds the keys, ``content`` and ``meta`` (text); ``latest`` holds at most
-    one row per key. Content decides first, then meta.
+    one row per key. Content decides first, then meta. Every text is parsed once, on its
+    own side of the join.
     """
-    logged = latest.select(
-        *keys,
-        F.col("content").alias("_log_content"),
-        F.col("meta").alias("_log_meta"),
-        F.lit(True).alias("_logged"),
+    logged = with_digest(with_digest(latest, "content", "_log_c"), "meta", "_log_m").select(
+        *keys, F.lit(True).alias("_logged"), "_log_c_empty", "_log_c_digest", "_log_m_empty", "_log_m_digest"
     )
-    joined = desired.join(logged, list(keys), "left")
-    compared = compare_texts(joined, "content", "_log_content", "_content_status")
-    compared = compare_texts(compared, "meta", "_log_meta", "_meta_status")
+    wanted = with_digest(with_digest(desired, "content", "_c"), "meta", "_m")
+    content = digest_status("_c", "_log_c")
     status = (
         F.when(F.col("_logged").isNull(), F.lit("new"))
-        .when(F.col("_content_status") != "same", F.col("_content_status"))
-        .otherwise(F.col("_meta_status"))
-    )
-    return compared.withColumn("status", status).drop(
-        "_log_content", "_log_meta", "_logged", "_content_status", "_meta_status"
+        .when(content != "same", content)
+        .otherwise(digest_status("_m", "_log_m"))
     )
+    joined = wanted.join(logged, list(keys), "left").withColumn("status", status)
+    return joined.select(*desired.columns, "status")
 
 
 def definition_status(desired: DataFrame, live: DataFrame, key: str = "name") -> DataFrame:
@@ -61,11 +52,11 @@ def definition_status(desired: DataFrame, live: DataFrame, key: str = "name") ->
 
     Both hold ``key`` and ``definition``. A blank live definition counts as absent.
     """
-    current = live.select(key, F.col("definition").alias("_live"))
-    joined = desired.join(current, key, "left")
-    compared = compare_texts(joined, "definition", "_live", "_status")
-    status = F.when(F.coalesce(F.col("_live"), F.lit("")) == "", F.lit("new")).otherwise(F.col("_status"))
-    return compared.withColumn("status", status).drop("_live", "_status")
+    current = with_digest(live, "definition", "_live").select(key, "_live_empty", "_live_digest")
+    joined = with_digest(desired, "definition", "_d").join(current, key, "left")
+    absent = F.coalesce(F.col("_live_empty"), F.lit(True))
+    status = F.when(absent, F.lit("new")).otherwise(digest_status("_d", "_live"))
+    return joined.withColumn("status", status).select(*desired.columns, "status")
 
 
 def using_changed(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tableset.functions.json import json_status, single_value
 from tableset.functions.rules import valid_env, valid_resource_type
-from tableset.operators.changes import change_status, compare_texts
+from tableset.operators.changes import change_status, digest_status, with_digest
 from tableset.operators.latest import entries_of, latest_entries
 from tableset.operators.lookup import get_by_ids, live_definitions, require_keys, search, validate
 from tableset.operators.overlay import overlay
@@ -126,7 +126,8 @@ def json_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         left = F.when(case == number, form(required)).otherwise(left)
         right = F.when(case == number, form(current)).otherwise(right)
     df = table(spark, sf_dir, "events").select("event_id", left.alias("required"), right.alias("current"))
-    return compare_texts(df, "required", "current", "status").select("event_id", "status")
+    both = with_digest(with_digest(df, "required", "r"), "current", "c")
+    return both.select("event_id", digest_status("r", "c").alias("status"))
 
 
 @query("""
