@@ -19,7 +19,7 @@ import hashlib
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,22 +170,25 @@ class Store:
     def documents(self, versions: DataFrame, schema: T.StructType | None = None) -> DataFrame:
         """Accepted documents of the given versions, with ``version_name``.
 
-        One scan per layout, pruned to the folders of the versions at run time. With a
-        schema all layouts are read in its columns; else columns are united by name. A
-        column that a version does not have is NULL.
+        One scan per layout, pruned to the folders of the versions at run time. Without a
+        schema the columns of all layouts are united by name; a column with several types
+        becomes text. A column that a version does not have is NULL.
         """
-        result = None
         layouts = versions.groupBy("layout").agg(F.min("definition").alias("definition")).orderBy("layout")
-        for row in layouts.collect():  # one row per distinct set of declared columns
-            columns = schema if schema is not None else declared_schema(row["definition"])
-            folders = versions.filter(F.col("layout") == row["layout"]).select("folder", "version_name")
-            rows = self.read_layout(row["layout"], columns).filter(F.col("outcome") == "created")
-            part = lookup(rows, folders, ["folder"], "_id", how="inner").drop("folder", "outcome", "_failure")
-            result = part if result is None else result.unionByName(part, allowMissingColumns=True)
+        # One row per distinct set of declared columns.
+        declared = {row["layout"]: declared_schema(row["definition"]) for row in layouts.collect()}
+        wanted = schema if schema is not None else united(list(declared.values()))
+        result = None
+        for layout, columns in declared.items():
+            folders = versions.filter(F.col("layout") == layout).select("folder", "version_name")
+            rows = self.read_layout(layout, columns).filter(F.col("outcome") == "created")
+            part = lookup(rows, folders, ["folder"], "_id", how="inner").select(
+                "_id", "_seq_no", *[column_or_null(f, columns) for f in wanted.fields], "version_name"
+            )
+            result = part if result is None else result.unionByName(part)
         if result is None:
-            stored = stored_schema(schema if schema is not None else T.StructType([]))
-            empty = self.spark.createDataFrame([], stored).drop("folder", "outcome", "_failure")
-            return empty.withColumn("version_name", F.lit(None).cast("string"))
+            shape = T.StructType([*struct(_id=STRING, _seq_no=LONG).fields, *wanted.fields, *struct(version_name=STRING).fields])
+            return self.spark.createDataFrame([], shape)
         return result
 
     def members(self, alias: str) -> DataFrame:
@@ -235,6 +238,21 @@ def stored_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([*head.fields, *schema.fields, *tail.fields])
 
 
+def united(schemas: list[T.StructType]) -> T.StructType:
+    """Columns of several schemas by name, in order of appearance; differing types become text."""
+    fields: dict[str, T.DataType] = {}
+    for field in (f for schema in schemas for f in schema.fields):
+        known = fields.setdefault(field.name, field.dataType)
+        if known != field.dataType:
+            fields[field.name] = STRING
+    return struct(**fields)
+
+
+def column_or_null(field: T.StructField, available: T.StructType) -> Column:
+    value = F.col(f"`{field.name}`") if field.name in available.names else F.lit(None)
+    return value.cast(field.dataType).alias(field.name)
+
+
 def layout_id(definition: str) -> str:
     """Versions with the same declared columns share a layout."""
     return hashlib.sha256(declared_schema(definition).json().encode()).hexdigest()[:16]
