@@ -81,9 +81,18 @@ def using_changed(
     )
 
 
-def changed_only(df: DataFrame) -> DataFrame:
-    """Rows with work to do: new or changed, or using a changed pipeline."""
+def _changed(df: DataFrame) -> Column:
     needed = F.col("status").isin("new", "changed")
     if "pipeline_changed" in df.columns:
         needed = needed | ((F.col("status") == "same") & F.col("pipeline_changed"))
-    return df.filter(needed)
+    return needed
+
+
+def changed_only(df: DataFrame) -> DataFrame:
+    """Rows with work to do: new or changed, or using a changed pipeline."""
+    return df.filter(_changed(df))
+
+
+def needs_action(df: DataFrame) -> DataFrame:
+    """Rows with work to do or with an error; unchanged rows go before anything is built for them."""
+    return df.filter(_changed(df) | (F.col("status") == "error"))

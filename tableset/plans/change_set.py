@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from tableset.functions.meta import document_meta_json, index_set_meta_json
 from tableset.functions.names import alias_name, document_identifier, pipeline_id, version_name
 from tableset.operators.aliases import alias_bounds
-from tableset.operators.changes import change_status, changed_only, definition_status, using_changed
+from tableset.operators.changes import change_status, changed_only, definition_status, needs_action, using_changed
 from tableset.operators.latest import entries_of, latest_entries
 from tableset.plans.desired import Desired
 from tableset.schemas import CHANGE_SET
 
 # The order of the stages.
 PIPELINE_STAGE, INDEX_SET_STAGE, DOCUMENT_STAGE = 1, 2, 3
+STAGES = {"pipeline": PIPELINE_STAGE, "index_set": INDEX_SET_STAGE, "document": DOCUMENT_STAGE}
+
+ERROR, NOT_COMPARABLE = "error", "definition is not a JSON object"
 
 _ACTION_FIELDS = [f.name for f in CHANGE_SET.fields if f.name not in ("stage", "key", "step")]
 
@@ -32,9 +35,14 @@ def _action(name: str, **values: Column) -> Column:
     )
 
 
-def _as_rows(df: DataFrame, stage: int, actions: Column) -> DataFrame:
-    """Actions of a row, in order; a NULL in the list is an action that does not apply."""
-    exploded = df.select("key", F.posexplode(F.array_compact(actions)).alias("step", "_a"))
+def _as_rows(statuses: DataFrame, stage: int, actions: Column) -> DataFrame:
+    """Actions of every row with work to do, in order, and one error row where nothing could be compared.
+
+    A NULL in the list is an action that does not apply.
+    """
+    error = _action(ERROR, definition=F.lit(NOT_COMPARABLE))
+    listed = F.when(F.col("status") == "error", F.array(error)).otherwise(F.array_compact(actions))
+    exploded = needs_action(statuses).select("key", F.posexplode(listed).alias("step", "_a"))
     return exploded.select(F.lit(stage).alias("stage"), "key", "step", *[f"_a.{f}" for f in _ACTION_FIELDS])
 
 
@@ -46,7 +54,7 @@ def pipeline_changes(desired: DataFrame, live: DataFrame, env: str) -> DataFrame
 
 def pipeline_actions(statuses: DataFrame) -> DataFrame:
     put = _action("put_pipeline", target=F.col("name"), definition=F.col("definition"))
-    return _as_rows(changed_only(statuses), PIPELINE_STAGE, F.array(put))
+    return _as_rows(statuses, PIPELINE_STAGE, F.array(put))
 
 
 def members_by_set(membership: DataFrame, env: str) -> DataFrame:
@@ -121,7 +129,7 @@ def index_set_actions(changes: DataFrame, env: str, version: str, prototype_env:
             definition=F.col("content"), meta=F.col("meta"),
         ),
     )
-    return _as_rows(changed_only(changes), INDEX_SET_STAGE, actions)
+    return _as_rows(changes, INDEX_SET_STAGE, actions)
 
 
 def document_changes(desired: DataFrame, log: DataFrame, env: str) -> DataFrame:
@@ -151,17 +159,10 @@ def document_actions(changes: DataFrame, env: str) -> DataFrame:
             definition=F.col("content"), meta=F.col("meta"),
         ),
     )
-    return _as_rows(changed_only(changes), DOCUMENT_STAGE, actions)
+    return _as_rows(changes, DOCUMENT_STAGE, actions)
 
 
-def compare_errors(changes: DataFrame, kind: str) -> DataFrame:
-    """Rows whose definitions could not be compared."""
-    return changes.filter(F.col("status") == "error").select(
-        F.lit(kind).alias("kind"), "key", F.lit("definition is not a JSON object").alias("reason")
-    )
-
-
-def change_set(
+def planned_actions(
     desired: Desired,
     log: DataFrame,
     membership: DataFrame,
@@ -169,12 +170,10 @@ def change_set(
     version: str,
     prototype_env: str = "",
     small_pipelines: bool | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """``(changes, errors)``: one row per action, and every reason not to go on.
+) -> DataFrame:
+    """Change set and errors as one frame, so that both come from one evaluation.
 
-    In a ``write_changelog`` row ``source`` is the resource type and ``target`` the final
-    name; in an ``index_document`` row they are document id and alias; in alias rows the
-    alias and the new member. The members to remove follow from ``removals``.
+    An error row has the action ``error`` and its reason as ``definition``.
     """
     env = desired.env
     pipelines = pipeline_changes(desired.pipelines, live_pipelines, env)
@@ -182,24 +181,49 @@ def change_set(
         desired.index_sets, log, membership, changed_only(pipelines).select("name"), env, small_pipelines
     )
     documents = document_changes(desired.documents, log, env)
-    changes = reduce(
+    stage = F.element_at(F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair]), F.col("kind"))
+    loading = desired.errors.select(
+        stage.alias("stage"), "key", F.lit(-1).alias("step"), _action(ERROR, definition=F.col("reason")).alias("_a")
+    ).select("stage", "key", "step", *[f"_a.{f}" for f in _ACTION_FIELDS])
+    return reduce(
         DataFrame.unionByName,
         [
+            loading,
             pipeline_actions(pipelines),
             index_set_actions(sets, env, version, prototype_env),
             document_actions(documents, env),
         ],
+    ).select(*CHANGE_SET.names)
+
+
+def split_errors(planned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(changes, errors)`` of planned actions."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, v in STAGES.items() for x in (v, k)]), F.col("stage"))
+    errors = planned.filter(F.col("action") == ERROR)
+    return (
+        planned.filter(F.col("action") != ERROR),
+        errors.select(kind.alias("kind"), "key", F.col("definition").alias("reason")),
     )
-    errors = reduce(
-        DataFrame.unionByName,
-        [
-            desired.errors,
-            compare_errors(pipelines, "pipeline"),
-            compare_errors(sets, "index_set"),
-            compare_errors(documents, "document"),
-        ],
+
+
+def change_set(
+    desired: Desired,
+    log: DataFrame,
+    membership: DataFrame,
+    live_pipelines: DataFrame,
+    version: str,
+    prototype_env: str = "",
+    small_pipelines: bool | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(changes, errors)``: one row per action, and every reason not to go on.
+
+    In a ``write_changelog`` row ``source`` is the resource type and ``target`` the final
+    name; in an ``index_document`` row they are document id and alias; in alias rows the
+    alias and the new member. The members to remove follow from ``removals``.
+    """
+    return split_errors(
+        planned_actions(desired, log, membership, live_pipelines, version, prototype_env, small_pipelines)
     )
-    return changes.select(*CHANGE_SET.names), errors
 
 
 def removals(changes: DataFrame, membership: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +14,7 @@ from tableset.functions.meta import document_meta, index_set_meta, index_set_met
 from tableset.functions.names import split_document_id
 from tableset.operators.includes import expand_includes
 from tableset.operators.overlay import overlay
+from tableset.session import durable
 from tableset.sources.resources import read_includes, read_resources
 
 # The folders of a resource tree, and the text of a load error.
@@ -103,9 +105,12 @@ def _include_errors(df: DataFrame, kind: str, key: str) -> DataFrame:
 
 def resolve_rows(
     env: str, set_files: DataFrame, pipeline_files: DataFrame, document_files: DataFrame, includes: DataFrame,
-    small_includes: bool | None = None,
+    small_includes: bool | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Desired:
-    """Desired state from parsed file rows (``kind``, ``identifier``, ``env``, ``path``, ``content``)."""
+    """Desired state from parsed file rows (``kind``, ``identifier``, ``env``, ``path``, ``content``).
+
+    ``keep`` is applied to each resolved table before it is split into rows and errors.
+    """
     sets = expand_includes(resolve_index_sets(set_files, env), includes, "index_set", small=small_includes)
     pipelines = expand_includes(
         resolve_pipelines(pipeline_files, env), includes, "name", text="definition", small=small_includes
@@ -113,6 +118,7 @@ def resolve_rows(
     documents = expand_includes(
         resolve_documents(document_files, env), includes, "identifier", small=small_includes
     )
+    sets, pipelines, documents = keep(sets), keep(pipelines), keep(documents)
     errors = reduce(
         DataFrame.unionByName,
         [
@@ -135,9 +141,13 @@ def resolve_rows(
 
 
 def resolve(spark: SparkSession, root: str, env: str) -> tuple[Desired, DataFrame]:
-    """``(desired state, skipped files)`` of a resource tree."""
+    """``(desired state, skipped files)`` of a resource tree.
+
+    A tree is many small files, so each table is resolved once and kept.
+    """
     root = root.rstrip("/")
     found = [read_resources(spark, f"{root}/{folder}") for folder in (INDEX_SETS, PIPELINES, DOCUMENTS)]
     skipped = reduce(DataFrame.unionByName, [s for _, s in found])
-    desired = resolve_rows(env, *[rows for rows, _ in found], read_includes(spark, f"{root}/{INCLUDES}"))
+    includes = read_includes(spark, f"{root}/{INCLUDES}")
+    desired = resolve_rows(env, *[rows for rows, _ in found], includes, keep=durable)
     return desired, skipped

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tableset.functions.json import valid_object
 from tableset.operators.transforms import failure, fit_to_schema
 from tableset.operators.upsert import upsert
-from tableset.plans.change_set import document_actions, document_changes
+from tableset.plans.change_set import document_actions, document_changes, split_errors
 
 
 def sync_documents(desired: DataFrame, log: DataFrame, table: DataFrame, env: str) -> tuple[DataFrame, DataFrame]:
@@ -19,7 +19,7 @@ def sync_documents(desired: DataFrame, log: DataFrame, table: DataFrame, env: st
     ignored are written by name; every changed document is logged. One write each, however
     many documents there are.
     """
-    actions = document_actions(document_changes(desired, log, env), env)
+    actions, _ = split_errors(document_actions(document_changes(desired, log, env), env))
     return upsert(table, document_writes(actions), keys=("alias", "_id")), log_entries(actions, env)
 
 

@@ -17,7 +17,7 @@ from tableset.operators.cap import UNLIMITED, cap_by_key
 from tableset.operators.spread import lookup
 from tableset.operators.transforms import Step, parse_steps
 from tableset.operators.upsert import upsert
-from tableset.plans.change_set import change_set, removals
+from tableset.plans.change_set import planned_actions, removals, split_errors
 from tableset.plans.desired import Desired
 from tableset.plans.documents import document_writes, log_entries, parse_documents
 from tableset.plans.reindex import copy_rows, newest_per_id
@@ -32,14 +32,14 @@ class MigrationError(Exception):
 
 def migrate(store: Store, desired: Desired, version: str, prototype_env: str = "") -> DataFrame:
     """Bring the stored tables to the desired state; returns the actions that were carried out."""
-    changes, errors = change_set(
-        desired, store.changelog(), store.membership(), store.pipelines(), version, prototype_env
+    # The tables read here are changed below, so the actions are fixed first, once.
+    planned = durable(
+        planned_actions(desired, store.changelog(), store.membership(), store.pipelines(), version, prototype_env)
     )
-    problem = errors.first()
+    changes, errors = split_errors(planned)
+    problem = errors.orderBy("kind", "key", "reason").first()
     if problem is not None:
         raise MigrationError(f"{problem['kind']} {problem['key']}: {problem['reason']}")
-    # The tables read above are changed below, so the actions are fixed first.
-    changes = durable(changes)
     apply_changes(store, changes, desired.env)
     return changes
 
