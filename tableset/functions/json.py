@@ -24,9 +24,12 @@ def canonical_json(text: Column | str) -> Column:
     c = _col(text)
     as_array = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    value = F.try_variant_get(as_field, "$.v", "variant")
+    form = F.to_json(F.try_variant_get(as_field, "$.v", "variant"))
     is_single = F.size(F.try_variant_get(as_array, "$", "array<variant>")) == 1
-    return F.when(is_single, F.regexp_replace(F.to_json(value), _WHOLE_DOUBLE, "$1$2"))
+    # Only numbers written with an exponent come out as doubles.
+    return F.when(
+        is_single, F.when(c.rlike("[0-9][eE]"), F.regexp_replace(form, _WHOLE_DOUBLE, "$1$2")).otherwise(form)
+    )
 
 
 def object_digest(text: Column | str) -> Column:

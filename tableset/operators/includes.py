@@ -20,16 +20,22 @@ def _fits_in_a_map(includes: DataFrame) -> bool:
 
 def _rebuild(df: DataFrame, text: str, found: Column) -> DataFrame:
     pieces = F.transform(F.col("_names"), lambda n: found[n])
-    joined = F.array_join(
-        F.zip_with(F.col("_segments"), pieces, lambda s, p: F.concat(s, F.coalesce(p, F.lit("")))), ""
-    )
+    joined = F.when(
+        F.size("_names") > 0,
+        F.array_join(
+            F.zip_with(F.col("_segments"), pieces, lambda s, p: F.concat(s, F.coalesce(p, F.lit("")))), ""
+        ),
+    ).otherwise(F.col(text))
     missing = F.array_distinct(F.filter(F.col("_names"), lambda n: found[n].isNull()))
     other_action = F.exists(F.col("_segments"), lambda s: s.contains(ACTION_OPEN))
     error = F.when(other_action, F.lit("unsupported action")).when(
         F.size(missing) > 0, F.concat(F.lit("missing include: "), F.array_join(missing, ", "))
     )
-    return df.withColumn("include_error", error).withColumn(
-        text, F.when(error.isNull(), strip_comments(joined))
+    return (
+        df.withColumn("include_error", error)
+        .withColumn("_joined", joined)
+        .withColumn(text, F.when(F.col("include_error").isNull(), strip_comments("_joined")))
+        .drop("_joined")
     )
 
 
@@ -49,10 +55,13 @@ def expand_includes(
     """
     if small is None:
         small = _fits_in_a_map(includes)
+    # Texts without any action, the usual case, are only searched for its first bytes.
+    action = F.col(text).contains(ACTION_OPEN)
+    none = F.array().cast("array<string>")
     prepared = (
         df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-        .withColumn("_names", include_names(text))
-        .withColumn("_segments", include_segments(text))
+        .withColumn("_names", F.when(action, include_names(text)).otherwise(none))
+        .withColumn("_segments", F.when(action, include_segments(text)).otherwise(none))
     )
     if small:
         table = includes.agg(
@@ -61,9 +70,7 @@ def expand_includes(
         return _rebuild(prepared.withColumn("_found", table), text, F.col("_found")).drop(
             "_names", "_segments", "_found"
         )
-    uses = df.select(
-        key, F.explode(F.array_distinct(include_names(F.coalesce(F.col(text), F.lit(""))))).alias("name")
-    )
+    uses = df.filter(action).select(key, F.explode(F.array_distinct(include_names(text))).alias("name"))
     contents = includes.select("name", F.col("content").alias("_content"))
     found = (
         lookup(uses, contents, ["name"], key, how="inner", small=False, salts=16)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableset.functions.meta import document_meta_json, index_set_meta_json
@@ -24,26 +24,24 @@ ERROR, NOT_COMPARABLE = "error", "definition is not a JSON object"
 _ACTION_FIELDS = [f.name for f in CHANGE_SET.fields if f.name not in ("stage", "key", "step")]
 
 
-def _action(name: str, **values: Column) -> Column:
-    """One action with all fields of the change set; fields not given are NULL."""
-    values["action"] = F.lit(name)
-    return F.struct(
-        *[
-            values.get(field, F.lit(None)).cast(CHANGE_SET[field].dataType).alias(field)
-            for field in _ACTION_FIELDS
-        ]
-    )
+def _action(name: str, applies: str = "TRUE", **values: str) -> str:
+    """SQL of one action with all fields of the change set, or of NULL where it does not apply.
 
+    ``values`` are SQL expressions; fields not given are NULL.
+    """
+    values["action"] = f"'{name}'"
+    fields = ", ".join(
+        f"'{f}', CAST({values.get(f, 'NULL')} AS {CHANGE_SET[f].dataType.simpleString()})" for f in _ACTION_FIELDS
+    )
+    return f"IF({applies}, named_struct({fields}), NULL)"
 
-def _as_rows(statuses: DataFrame, stage: int, actions: Column) -> DataFrame:
-    """Actions of every row with work to do, in order, and one error row where nothing could be compared.
 
-    A NULL in the list is an action that does not apply.
-    """
-    error = _action(ERROR, definition=F.lit(NOT_COMPARABLE))
-    listed = F.when(F.col("status") == "error", F.array(error)).otherwise(F.array_compact(actions))
-    exploded = needs_action(statuses).select("key", F.posexplode(listed).alias("step", "_a"))
-    return exploded.select(F.lit(stage).alias("stage"), "key", "step", *[f"_a.{f}" for f in _ACTION_FIELDS])
+def _as_rows(statuses: DataFrame, stage: int, *actions: str) -> DataFrame:
+    """Actions of every row with work to do, in order, and one error row where nothing could be compared."""
+    error = _action(ERROR, definition=f"'{NOT_COMPARABLE}'")
+    listed = f"IF(status = 'error', array({error}), array_compact(array({', '.join(actions)})))"
+    exploded = needs_action(statuses).select("key", F.posexplode(F.expr(listed)).alias("step", "_a"))
+    return exploded.select(F.lit(stage).alias("stage"), "key", "step", "_a.*")
 
 
 def pipeline_changes(desired: DataFrame, live: DataFrame, env: str) -> DataFrame:
@@ -53,8 +51,7 @@ def pipeline_changes(desired: DataFrame, live: DataFrame, env: str) -> DataFrame
 
 
 def pipeline_actions(statuses: DataFrame) -> DataFrame:
-    put = _action("put_pipeline", target=F.col("name"), definition=F.col("definition"))
-    return _as_rows(statuses, PIPELINE_STAGE, F.array(put))
+    return _as_rows(statuses, PIPELINE_STAGE, _action("put_pipeline", target="name", definition="definition"))
 
 
 def members_by_set(membership: DataFrame, env: str) -> DataFrame:
@@ -96,40 +93,38 @@ def index_set_changes(
 
 def index_set_actions(changes: DataFrame, env: str, version: str, prototype_env: str = "") -> DataFrame:
     """Ordered actions of every index set with work to do."""
-    alias = alias_name(F.col("key"), F.lit(env))
-    settings = F.col("settings")
-    static = settings["index"] != ""
-    index = F.when(static, settings["index"]).otherwise(version_name(F.col("key"), F.lit(env), F.lit(version)))
-    pipeline = pipeline_id(settings["reindex"]["pipeline"], F.lit(env))
-    exists = F.col("first_member").isNotNull()
-    only_member = (F.col("first_member") == index) & (F.col("last_member") == index)
+    static = F.col("settings.index") != ""
+    index = F.when(static, F.col("settings.index")).otherwise(
+        version_name(F.col("key"), F.lit(env), F.lit(version))
+    )
     has_prototype = bool(prototype_env) and prototype_env != env
-    seeded = F.lit(has_prototype) & ~settings["prototype"]["disabled"]
-
-    actions = F.array(
-        F.when(~static, _action("create_index", target=index, definition=F.col("content"))),
-        F.when(
-            ~static & ~exists & seeded,
-            _action(
-                "reindex",
-                source=alias_name(F.col("key"), F.lit(prototype_env)),
-                target=index,
-                max_docs=settings["prototype"]["max_docs"],
-                pipeline=pipeline,
-            ),
-        ),
-        F.when(
-            ~static & exists,
-            _action("reindex", source=alias, target=index, max_docs=F.lit(-1), pipeline=pipeline),
+    named = changes.withColumns(
+        {
+            "static": static,
+            "index": index,
+            "alias": alias_name(F.col("key"), F.lit(env)),
+            "prototype": alias_name(F.col("key"), F.lit(prototype_env)),
+            "pipeline": pipeline_id(F.col("settings.reindex.pipeline"), F.lit(env)),
+            "present": F.col("first_member").isNotNull(),
+            "seeded": F.lit(has_prototype) & ~F.col("settings.prototype.disabled"),
+        }
+    )
+    only_member = "(first_member = index AND last_member = index)"
+    return _as_rows(
+        named,
+        INDEX_SET_STAGE,
+        _action("create_index", "NOT static", target="index", definition="content"),
+        _action(
+            "reindex", "NOT static AND NOT present AND seeded",
+            source="prototype", target="index", max_docs="settings.prototype.max_docs", pipeline="pipeline",
         ),
-        F.when(~exists, _action("create_alias", source=alias, target=index)),
-        F.when(exists & ~(static & only_member), _action("update_alias", source=alias, target=index)),
         _action(
-            "write_changelog", source=F.lit("index_set"), target=index,
-            definition=F.col("content"), meta=F.col("meta"),
+            "reindex", "NOT static AND present", source="alias", target="index", max_docs="-1", pipeline="pipeline"
         ),
+        _action("create_alias", "NOT present", source="alias", target="index"),
+        _action("update_alias", f"present AND NOT (static AND {only_member})", source="alias", target="index"),
+        _action("write_changelog", source="'index_set'", target="index", definition="content", meta="meta"),
     )
-    return _as_rows(changes, INDEX_SET_STAGE, actions)
 
 
 def document_changes(desired: DataFrame, log: DataFrame, env: str) -> DataFrame:
@@ -148,18 +143,12 @@ def document_changes(desired: DataFrame, log: DataFrame, env: str) -> DataFrame:
 
 def document_actions(changes: DataFrame, env: str) -> DataFrame:
     """Changed documents: written unless ignored, logged in any case."""
-    alias = alias_name(F.col("index_set"), F.lit(env))
-    actions = F.array(
-        F.when(
-            ~F.col("ignored"),
-            _action("index_document", source=F.col("name"), target=alias, definition=F.col("content")),
-        ),
-        _action(
-            "write_changelog", source=F.lit("document"), target=F.col("name"),
-            definition=F.col("content"), meta=F.col("meta"),
-        ),
+    return _as_rows(
+        changes.withColumn("alias", alias_name(F.col("index_set"), F.lit(env))),
+        DOCUMENT_STAGE,
+        _action("index_document", "NOT ignored", source="name", target="alias", definition="content"),
+        _action("write_changelog", source="'document'", target="name", definition="content", meta="meta"),
     )
-    return _as_rows(changes, DOCUMENT_STAGE, actions)
 
 
 def planned_actions(
@@ -183,8 +172,8 @@ def planned_actions(
     documents = document_changes(desired.documents, log, env)
     stage = F.element_at(F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair]), F.col("kind"))
     loading = desired.errors.select(
-        stage.alias("stage"), "key", F.lit(-1).alias("step"), _action(ERROR, definition=F.col("reason")).alias("_a")
-    ).select("stage", "key", "step", *[f"_a.{f}" for f in _ACTION_FIELDS])
+        stage.alias("stage"), "key", F.lit(-1).alias("step"), F.expr(_action(ERROR, definition="reason")).alias("_a")
+    ).select("stage", "key", "step", "_a.*")
     return reduce(
         DataFrame.unionByName,
         [
