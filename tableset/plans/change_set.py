@@ -243,9 +243,9 @@ def action_text(changes: DataFrame, membership: DataFrame, env: str) -> DataFram
     """
     pair = F.format_string(ALIAS_STRING, "alias", "version_name")
     removed = (
-        removals(changes, membership)
+        membership.filter(F.col("alias").startswith(f"{env}-"))
         .groupBy(F.col("alias").alias("_line"))
-        .agg(F.array_join(F.array_sort(F.collect_list(pair)), ", ").alias("_removed"))
+        .agg(F.array_join(F.array_sort(F.collect_set(pair)), ", ").alias("_removed"))
     )
     a, via = F.col("action"), F.coalesce("pipeline", F.lit(""))
     alias = F.format_string(ALIAS_STRING, "source", "target")

@@ -101,7 +101,7 @@ def reindex_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _REJECTED_SQL
     + """
-SELECT count(*) AS total, count(*) FILTER (outcome = 'created') AS created, 0 AS updated,
+SELECT count(*) AS total, count(*) FILTER (outcome = 'created') AS created, CAST(0 AS BIGINT) AS updated,
   count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'dropped') AS dropped,
   count(*) FILTER (outcome = 'created') AS done,
   min(_id) FILTER (outcome = 'rejected') AS failure_id,

@@ -151,7 +151,7 @@ def json_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, length(text || lang || source) AS n, md5(text || lang || source) AS text_md5 FROM documents
+SELECT doc_id, CAST(length(text || lang || source) AS INTEGER) AS n, md5(text || lang || source) AS text_md5 FROM documents
 """)
 def strip_comments_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments over several lines and inside of strings, within whole texts."""
