@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableset.functions.rules import failed_rules
+from tableset.operators.spread import by_keys
+
 
 def search(df: DataFrame, where: Column, order: Sequence[Column], size: int) -> DataFrame:
     """The first ``size`` documents by ``order`` among those matching ``where``.
@@ -16,24 +19,26 @@ def search(df: DataFrame, where: Column, order: Sequence[Column], size: int) ->
     return df.filter(where).orderBy(*order).limit(size)
 
 
-def get_by_ids(ids: DataFrame, df: DataFrame, id_col: str = "_id") -> DataFrame:
+def get_by_ids(ids: DataFrame, df: DataFrame, id_col: str = "_id", small: bool | None = None) -> DataFrame:
     """One row per requested id, ``_present`` false when there is no such document.
 
-    Requests are made unique before the join.
+    Requests are made unique first. The documents are reduced to the requested ones before
+    they join, without a shuffle when the requests are few.
     """
-    found = df.withColumn("_present", F.lit(True))
-    return ids.select(id_col).distinct().join(found, id_col, "left").withColumn(
+    requested = ids.select(id_col).distinct()
+    found = by_keys(df, requested, [id_col], "left_semi", small).withColumn("_present", F.lit(True))
+    return requested.join(found, id_col, "left").withColumn(
         "_present", F.coalesce(F.col("_present"), F.lit(False))
     )
 
 
-def require_keys(wanted: DataFrame, table: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def require_keys(
+    wanted: DataFrame, table: DataFrame, keys: Sequence[str], small: bool | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(found rows, missing keys)`` of requested keys."""
     requested = wanted.select(*keys).distinct()
-    return (
-        table.join(requested, list(keys), "left_semi"),
-        requested.join(table.select(*keys), list(keys), "left_anti"),
-    )
+    found = by_keys(table, requested, list(keys), "left_semi", small)
+    return found, requested.join(found.select(*keys), list(keys), "left_anti")
 
 
 def live_definitions(wanted: DataFrame, registry: DataFrame, key: str = "name") -> DataFrame:
@@ -45,8 +50,6 @@ def live_definitions(wanted: DataFrame, registry: DataFrame, key: str = "name")
 
 def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Add ``failed_rules``; a row is valid when the list is empty."""
-    from tableset.functions.rules import failed_rules
-
     return df.withColumn("failed_rules", failed_rules(rules))
 
 

@@ -47,6 +47,18 @@ def lookup(
         small = fits_broadcast(right)
     if small:
         return left.join(F.broadcast(right), list(on), how)
+    if salts == 1:
+        return left.join(right, list(on), how)
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+
+
+def by_keys(left: DataFrame, keys: DataFrame, on: Sequence[str], how: str, small: bool | None = None) -> DataFrame:
+    """Semi- or anti-join of a table against a list of keys.
+
+    The list is measured: a short one is broadcast, so the table is not shuffled whatever
+    the optimizer knows about the list. For a long one both sides are shuffled by key; rows
+    of ``left`` are about unique per key here, so nothing is salted.
+    """
+    return lookup(left, keys, on, on[0], how=how, small=small, salts=1)

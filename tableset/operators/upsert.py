@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tableset.functions.json import valid_object
 from tableset.operators.latest import first_by
+from tableset.operators.spread import by_keys
 
 
 def check_bodies(updates: DataFrame, body: str = "_source") -> DataFrame:
@@ -23,17 +24,21 @@ def with_ids(updates: DataFrame, id_col: str = "_id") -> DataFrame:
 
 
 def upsert(
-    base: DataFrame, updates: DataFrame, keys: Sequence[str] = ("_id",), order: Sequence[Column] = ()
+    base: DataFrame,
+    updates: DataFrame,
+    keys: Sequence[str] = ("_id",),
+    order: Sequence[Column] = (),
+    small: bool | None = None,
 ) -> DataFrame:
     """Next state: updated rows replace rows of the same key, new keys are added.
 
     Of several updates of one key the last by ``order`` wins; without ``order`` the updates
-    must be unique. Only the update *keys* meet the base: when Spark broadcasts them, the
-    base is not shuffled.
+    must be unique. Only the update *keys* meet the base: when they are measured to be few,
+    the base is not shuffled (see ``by_keys``).
     """
+    kept = by_keys(base, updates.select(*keys), list(keys), "left_anti", small)
     if order:
         updates = first_by(updates, keys, [c.desc() for c in order])
-    kept = base.join(updates.select(*keys), list(keys), "left_anti")
     return kept.unionByName(updates.select(*base.columns))
 
 
@@ -76,7 +81,7 @@ def cas_upsert(base: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFram
 
 def delete_keys(base: DataFrame, keys: DataFrame, on: Sequence[str] = ("_id",)) -> DataFrame:
     """Base without the given keys."""
-    return base.join(keys.select(*on), list(on), "left_anti")
+    return by_keys(base, keys.select(*on), list(on), "left_anti")
 
 
 def write_outcomes(base: DataFrame, updates: DataFrame, keys: Sequence[str] = ("_id",)) -> DataFrame:
