@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableset.functions.json import valid_object
+from tableset.functions.layout import layout_id, layout_of
 from tableset.operators.cap import UNLIMITED, cap_by_key
 from tableset.operators.spread import lookup
 from tableset.operators.transforms import Step, parse_steps
@@ -23,7 +25,7 @@ from tableset.plans.documents import document_writes, log_entries, parse_documen
 from tableset.plans.reindex import copy_rows, newest_per_id
 from tableset.schemas import declared_schema
 from tableset.session import durable
-from tableset.sources.store import Store, layout_id
+from tableset.sources.store import Store
 
 
 class MigrationError(Exception):
@@ -65,11 +67,11 @@ def new_versions(store: Store, changes: DataFrame) -> DataFrame:
     """Rows of the versions to create, each with a folder of this run."""
     wanted = changes.filter(F.col("action") == "create_index").select(F.col("target").alias("version_name"), "definition")
     store.check_new(wanted)
-    # One row per distinct definition; only these texts are looked at on the driver.
-    layouts = [(r["definition"], layout_id(r["definition"])) for r in wanted.select("definition").distinct().collect()]
-    by_definition = store.spark.createDataFrame(layouts, "definition STRING, layout STRING")
+    broken = wanted.filter((F.trim("definition") != "") & ~valid_object("definition")).first()
+    if broken is not None:
+        raise MigrationError(f"definition of {broken['version_name']} is not a JSON object")
     run = uuid.uuid4().hex
-    return lookup(wanted, by_definition, ["definition"], "version_name").withColumn(
+    return wanted.withColumn("layout", layout_of(F.col("definition"))).withColumn(
         "folder", F.concat_ws(".", "version_name", F.lit(run))
     )
 

@@ -68,3 +68,8 @@ def declared_schema(definition: str) -> T.StructType:
             for name, field in properties.items()
         ]
     )
+
+
+def layout_text(schema: T.StructType) -> str:
+    """Declared columns as text; versions with the same text share a layout."""
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields)

@@ -2,7 +2,7 @@
 
 Everything is Parquet below one root folder:
 
-``changelog/``                        append-only log rows
+``changelog/``                        append-only log rows, by type and environment
 ``pipelines/ versions/ membership/``  small tables, one complete snapshot per change
 ``data/layout=<id>/folder=<f>/``      documents of one version, split by ``outcome``
 
@@ -15,7 +15,6 @@ read or write many of them.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 
@@ -23,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableset.functions.layout import layout_id
 from tableset.operators.aliases import swap, unreferenced
 from tableset.operators.spread import lookup
 from tableset.operators.upsert import delete_keys, upsert
@@ -37,6 +37,13 @@ from tableset.schemas import (
     declared_schema,
     struct,
 )
+from tableset.session import setting
+
+LOG_FOLDERS = ("resource_type", "env_name")
+
+# Files a task may have open at once. Up to so many folders per task are written without
+# sorting the documents by folder first.
+OPEN_WRITERS = 64
 
 _SNAPSHOT = re.compile(r"snapshot=(\d+)$")
 
@@ -88,11 +95,15 @@ class Store:
         """All log rows; an absent log is empty, with the fixed schema."""
         if not self._exists(f"{self.root}/changelog"):
             return self.spark.createDataFrame([], CHANGELOG)
-        return self.spark.read.schema(CHANGELOG).parquet(f"{self.root}/changelog")
+        return self.spark.read.schema(CHANGELOG).parquet(f"{self.root}/changelog").select(*CHANGELOG.names)
 
     def append_log(self, rows: DataFrame) -> None:
-        """Append log rows (one write for all of them), stamped with the present time."""
-        log_rows(rows).write.mode("append").parquet(f"{self.root}/changelog")
+        """Append log rows (one write for all of them), stamped with the present time.
+
+        Type and environment are folders, so that a run reads the log of its own
+        environment only, however long the log of the others is.
+        """
+        log_rows(rows).write.mode("append").partitionBy(*LOG_FOLDERS).parquet(f"{self.root}/changelog")
 
     # registry of pipelines
 
@@ -156,9 +167,10 @@ class Store:
                 default = {"_seq_no": F.lit(0), "outcome": F.lit("created")}.get(field.name, F.lit(None))
                 df = df.withColumn(field.name, default)
         columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
-        df.select(*columns).write.mode("append").partitionBy("folder", "outcome").parquet(
-            self.data_path(layout_id(definition))
-        )
+        with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_WRITERS)):
+            df.select(*columns).write.mode("append").partitionBy("folder", "outcome").parquet(
+                self.data_path(layout_id(definition))
+            )
 
     def read_layout(self, layout: str, schema: T.StructType) -> DataFrame:
         """All stored rows of a layout, in the given columns, with ``folder`` and ``outcome``."""
@@ -253,10 +265,5 @@ def column_or_null(field: T.StructField, available: T.StructType) -> Column:
     return value.cast(field.dataType).alias(field.name)
 
 
-def layout_id(definition: str) -> str:
-    """Versions with the same declared columns share a layout."""
-    return hashlib.sha256(declared_schema(definition).json().encode()).hexdigest()[:16]
-
-
 def new_folder(version: str) -> str:
     return f"{version}.{uuid.uuid4().hex}"

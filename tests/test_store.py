@@ -3,10 +3,12 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from tableset.functions.layout import layout_id, layout_of
+from tableset.operators.latest import entries_of
 from tableset.plans.change_set import in_order
 from tableset.plans.migrate import MigrationError, migrate
 from tableset.schemas import CHANGELOG
-from tableset.sources.store import Store, layout_id
+from tableset.sources.store import Store
 from tests.test_change_set import desired_of
 
 TEXT = '{"mappings": {"properties": {"n": {"type": "keyword"}, "s": {"type": "text"}}}}'
@@ -113,9 +115,40 @@ def test_drop_only_what_no_alias_uses(spark, store):
     assert content(store, "al", "_id") == [("a",)]
 
 
-def test_layouts_follow_the_columns():
+def test_layouts_follow_the_columns(spark):
     settings = TEXT[:-1] + ', "settings": {"x": 1}}'
     assert layout_id(TEXT) == layout_id(settings) != layout_id(LONG)
+    odd = '{"mappings": {"properties": {"b": {"type": "geo"}, "a": {}, "c": {"type": "date"}, "d": {"type": "boolean"}}}}'
+    definitions = [TEXT, settings, LONG, odd, "{}", "", '{"mappings": {}}']
+    rows = spark.createDataFrame([(d,) for d in definitions], "d STRING").select("d", layout_of(F.col("d")).alias("l"))
+    assert {r.d: r.l for r in rows.collect()} == {d: layout_id(d) for d in definitions}
+
+
+def test_log_of_other_environments_is_not_read(spark, store, plan_of):
+    rows = spark.createDataFrame(
+        [("index_set", "x", "f", e, "{}", "{}") for e in ("e1", "e2")],
+        "resource_type STRING, resource_identifier STRING, final_name STRING, env_name STRING, content STRING, meta STRING",
+    )
+    store.append_log(rows)
+    mine = entries_of(store.changelog(), "index_set", "e1")
+    assert [r.env_name for r in mine.collect()] == ["e1"]
+    assert "PartitionFilters: [isnotnull(resource_type" in plan_of(mine)
+
+
+def test_documents_are_written_without_a_sort(spark, store):
+    listed = []
+    df = documents(spark, [("a", "1", "x"), ("b", "2", "y")]).withColumn("folder", F.concat(F.lit("f"), "_id"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    store.write_folders(df, TEXT)
+    listed = sorted(r.folder for r in store.read_layout(layout_id(TEXT), df.select("n", "s").schema).collect())
+    assert listed == ["fa", "fb"]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_broken_definition_is_an_error(spark, store):
+    with pytest.raises(MigrationError, match="not a JSON object"):
+        migrate(store, desired_of(spark, sets=[("x", "{", meta())]), "1")
+    assert store.versions().count() == 0
 
 
 def test_first_run_then_nothing_to_do(spark, store):

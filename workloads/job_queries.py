@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableset.functions.layout import layout_id
 from tableset.functions.meta import index_set_meta_json
 from tableset.plans.baseline import baseline
 from tableset.plans.change_set import action_text, change_set, removals
@@ -13,7 +14,7 @@ from tableset.plans.documents import sync_documents
 from tableset.plans.migrate import migrate
 from tableset.schemas import VERSION
 from tableset.session import fresh_path
-from tableset.sources.store import Store, layout_id
+from tableset.sources.store import Store
 from workloads.registry import query, table
 
 
