@@ -47,20 +47,24 @@ def migrate(store: Store, desired: Desired, version: str, prototype_env: str = "
 
 
 def apply_changes(store: Store, changes: DataFrame, env: str) -> None:
-    put_pipelines(store, changes)
-    created = new_versions(store, changes)
-    copy_documents(store, changes, created)
-    publish(store, changes, created)
-    write_documents(store, changes)
-    log = log_entries(changes, env)
-    if not log.isEmpty():
-        store.append_log(log)
+    """Carry out the actions, stage by stage; stages without actions are left out."""
+    kinds = {row["action"] for row in changes.select("action").distinct().collect()}
+    if "put_pipeline" in kinds:
+        put_pipelines(store, changes)
+    created = new_versions(store, changes) if "create_index" in kinds else None
+    if "reindex" in kinds:
+        copy_documents(store, changes, created)
+    if kinds & {"create_alias", "update_alias"}:
+        publish(store, changes, created)
+    if "index_document" in kinds:
+        write_documents(store, changes)
+    if "write_changelog" in kinds:
+        store.append_log(log_entries(changes, env))
 
 
 def put_pipelines(store: Store, changes: DataFrame) -> None:
     puts = changes.filter(F.col("action") == "put_pipeline").select(F.col("target").alias("name"), "definition")
-    if not puts.isEmpty():
-        store.put_pipelines(puts)
+    store.put_pipelines(puts)
 
 
 def new_versions(store: Store, changes: DataFrame) -> DataFrame:
@@ -139,19 +143,20 @@ def verify_copy(store: Store, rows: DataFrame, copies: DataFrame, definition: st
         raise MigrationError(f"{wrong['folder']}: {wrong['expected']} documents read, {wrong['written']} stored")
 
 
-def publish(store: Store, changes: DataFrame, created: DataFrame) -> None:
+def publish(store: Store, changes: DataFrame, created: DataFrame | None) -> None:
     """Register the new versions, then change all aliases in one membership write."""
     adds = changes.filter(F.col("action").isin("create_alias", "update_alias")).select(
         F.col("source").alias("alias"), F.col("target").alias("version_name")
     )
-    known = store.versions().select("version_name").unionByName(created.select("version_name"))
+    known = store.versions().select("version_name")
+    if created is not None:
+        known = known.unionByName(created.select("version_name"))
     unknown = adds.join(known, "version_name", "left_anti").first()
     if unknown is not None:
         raise MigrationError(f"no such version {unknown['version_name']!r}")
-    if not created.isEmpty():
+    if created is not None:
         store.register(created)
-    if not adds.isEmpty():
-        store.swap(removals(changes, store.membership()), adds)
+    store.swap(removals(changes, store.membership()), adds)
 
 
 def write_documents(store: Store, changes: DataFrame) -> None:
@@ -160,8 +165,6 @@ def write_documents(store: Store, changes: DataFrame) -> None:
     The version keeps its name and gets a new folder; untouched versions stay as they are.
     """
     writes = document_writes(changes)
-    if writes.isEmpty():
-        return
     touched = store.membership().join(writes.select("alias").distinct(), "alias", "left_semi")
     targets = durable(touched.join(store.versions(), "version_name"))
     several = targets.groupBy("alias").count().filter("count > 1").first()

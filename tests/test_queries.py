@@ -10,7 +10,10 @@ from tools.check import TABLES, compare
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
+pytestmark = [
+    pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables"),
+    pytest.mark.usefixtures("codegen"),
+]
 
 
 @pytest.fixture(scope="module")

@@ -136,7 +136,6 @@ def test_log_of_other_environments_is_not_read(spark, store, plan_of):
 
 
 def test_documents_are_written_without_a_sort(spark, store):
-    listed = []
     df = documents(spark, [("a", "1", "x"), ("b", "2", "y")]).withColumn("folder", F.concat(F.lit("f"), "_id"))
     before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
     store.write_folders(df, TEXT)
