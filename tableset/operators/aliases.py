@@ -25,10 +25,24 @@ def alias_bounds(membership: DataFrame) -> DataFrame:
 
 
 def swap(membership: DataFrame, removes: DataFrame, adds: DataFrame) -> DataFrame:
-    """Membership after one change: ``(membership - removes) + adds``, without duplicates."""
-    keys = ["alias", "version_name"]
-    kept = membership.select(*keys).join(removes.select(*keys), keys, "left_anti")
-    return kept.unionByName(adds.select(*keys)).distinct()
+    """Membership after one change: ``(membership - removes) + adds``, without duplicates.
+
+    One aggregation per pair: repeated pairs combine inside the map tasks.
+    """
+
+    def tagged(pairs: DataFrame, tag: str) -> DataFrame:
+        return pairs.select(
+            "alias", "version_name", *[F.lit(tag == t).alias(t) for t in ("member", "removed", "added")]
+        )
+
+    pairs = (
+        tagged(membership, "member")
+        .unionByName(tagged(removes, "removed"))
+        .unionByName(tagged(adds, "added"))
+        .groupBy("alias", "version_name")
+        .agg(*[F.max(t).alias(t) for t in ("member", "removed", "added")])
+    )
+    return pairs.filter("added OR (member AND NOT removed)").select("alias", "version_name")
 
 
 def same_members(wanted: DataFrame, current: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tableset.operators.spread import lookup
 from tableset.session import durable
 
-# Caps up to this size are taken by a plain top-n.
+# Up to this size the last id of a cap is found by a plain top-n of ids.
 TOP_N_LIMIT = 10_000
 
 UNLIMITED = -1
@@ -20,15 +20,17 @@ _ROW_BITS = 33
 def cap(df: DataFrame, n: int, id_col: str = "_id", top_n_limit: int = TOP_N_LIMIT) -> DataFrame:
     """The first ``n`` rows by ``id_col`` (unique); -1 keeps all.
 
-    A small cap is a top-n: each task keeps n rows, one task merges them. A large cap
-    looks up the n-th id first and becomes a filter on the id; the rows are not moved.
+    The n-th id is looked up among the ids alone and becomes a filter; the rows are never
+    moved. For a small cap the lookup is a top-n of ids within the query. For a large one
+    the ids are ranked over many tasks first.
     """
     if n == UNLIMITED:
         return df
     if n < 0:
         raise ValueError(f"cap must be -1 or at least 0, got {n}")
     if n <= top_n_limit:
-        return df.orderBy(id_col).limit(n)
+        last = df.select(id_col).orderBy(id_col).limit(n).agg(F.max(id_col)).scalar()
+        return df.filter(F.col(id_col) <= last)
     ids = df.select(F.lit(0).alias("_set"), F.col(id_col).alias("_id"))
     limits = df.sparkSession.range(1).select(F.lit(0).alias("_set"), F.lit(n).cast("long").alias("_limit"))
     last = nth_ids(ids, limits).first()

@@ -40,7 +40,10 @@ def test_terms_reach_the_scan(spark, plan_of):
 
 def test_small_cap_is_a_top_n_and_large_cap_a_filter(spark, plan_of):
     customers = spark.read.parquet(f"{SF_DIR}/customer.parquet").withColumnRenamed("c_name", "_id")
-    assert "TakeOrderedAndProject" in plan_of(cap(customers, 10))
+    small = plan_of(cap(customers, 10))
+    main, _, subquery = small.partition("Subquery")
+    assert "TakeOrderedAndProject" in subquery and "Exchange" not in main
+    assert "ReadSchema: struct<c_name:string>" in subquery
     large = plan_of(cap(customers, 100, top_n_limit=0))
     assert "LessThanOrEqual(c_name," in large
     assert "Exchange" not in large and "TakeOrdered" not in large

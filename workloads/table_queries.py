@@ -9,6 +9,7 @@ from tableset.operators.aliases import alias_members, same_members, scan_alias,
 from tableset.operators.cap import cap, cap_by_key
 from tableset.operators.changes import changed_only, using_changed
 from tableset.operators.report import outcome_report
+from tableset.operators.spread import lookup
 from tableset.operators.transforms import parse_steps
 from tableset.operators.upsert import cas_upsert, check_bodies, delete_keys, upsert, write_outcomes
 from tableset.plans.change_set import pipeline_changes
@@ -179,7 +180,7 @@ def seed_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("set_key"), text("c_custkey").alias("_id"), F.col("c_name").alias("name")
     )
-    mine = source.join(seeded.select("set_key", "version_name"), "set_key")
+    mine = lookup(source, seeded.select("set_key", "version_name"), ["set_key"], "_id", how="inner")
     capped = cap_by_key(mine, seeded, "version_name", "max_docs")
     schema = declared_schema('{"mappings": {"properties": {"name": {"type": "text"}}}}')
     return copy_rows(capped, schema, carry=("version_name", "_id")).select("version_name", "_id", "name")
