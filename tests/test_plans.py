@@ -6,7 +6,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tableset.operators.cap import cap
 from tableset.operators.includes import expand_includes
 from tableset.operators.latest import entries_of, latest_entries
@@ -14,7 +13,9 @@ from tableset.operators.spread import lookup
 from tableset.operators.upsert import upsert
 from tableset.plans.reindex import copy_rows
 from tableset.schemas import declared_schema
+from workloads import job_queries, log_queries, table_queries, text_queries  # noqa: F401
 from workloads.log_queries import event_log
+from workloads.registry import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SMALL = "/root/testdata/sf0.01"
@@ -22,9 +23,9 @@ SMALL = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"migrate_orders"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"migrate_orders"}))
 def test_no_python_and_no_nested_loops(spark, plan_of, name):
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert not re.search(r"EvalPython|InPandas|InArrow|CartesianProduct|NestedLoopJoin", plan), plan
 
 

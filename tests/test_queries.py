@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check import TABLES, compare
+from workloads.registry import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -25,12 +26,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    result = compare(spark, duck, SF_DIR, name, entry.queries()[name], entry.oracle_sql()[name])
+    result = compare(spark, duck, SF_DIR, name, QUERIES[name], ORACLES[name])
     assert result.startswith("ok"), result
 
 
