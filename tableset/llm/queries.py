@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableset.llm import bpe, line_dedup, minmax_dedup
+from tableset.llm import bpe, line_dedup, minmax_dedup, secret_scan
 from tableset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,17 @@ def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, on word pairs."""
     out = minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, scanned from an empty ledger."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = secret_scan.scan(docs)
+    all_spans = F.concat_ws(",", F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(r.kind) for r in secret_scan.RULES]
+    return found.select("row.doc_id", *counts, F.sha2(all_spans.cast("binary"), 256).alias("base_sha256"), all_spans.alias("spans"))
