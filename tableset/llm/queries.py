@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableset.llm import bpe, line_dedup, minmax_dedup, secret_scan
+from tableset.llm import bpe, line_dedup, minmax_dedup, mixing, packing, secret_scan
 from tableset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(r.kind) for r in secret_scan.RULES]
     return found.select("row.doc_id", *counts, F.sha2(all_spans.cast("binary"), 256).alias("base_sha256"), all_spans.alias("spans"))
+
+
+@query()
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query()
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of nearly equal bytes, equal texts together."""
+    out = packing.shard_documents(table(spark, sf_dir, "documents"), shards=16)
+    return out.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
