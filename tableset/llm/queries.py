@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableset.llm import bpe, line_dedup, minmax_dedup, mixing, packing, secret_scan
+from tableset.llm import bpe, line_dedup, minmax_dedup, mixing, packing, secret_scan, toxicity
 from tableset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    classifier = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), classifier.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
