@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableset.llm import bpe, line_dedup, minmax_dedup, mixing, packing, secret_scan, toxicity
+from tableset.llm import ann, bpe, line_dedup, minmax_dedup, mixing, packing, secret_scan, top_k, toxicity
 from tableset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     classifier = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), classifier.score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query()
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of every twentieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query(r"""
+WITH v AS (
+    SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+""")
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highest integer inner products of every hundredth vector."""
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
