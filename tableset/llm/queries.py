@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableset.llm import ann, bpe, line_dedup, minmax_dedup, mixing, packing, secret_scan, top_k, toxicity
+from tableset.llm import ann, bpe, license_scan, line_dedup, minmax_dedup, mixing, packing, secret_scan, top_k, toxicity
 from tableset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,13 @@ FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Highest integer inner products of every hundredth vector."""
     return top_k.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@query()
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence passages of all documents."""
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    spans = F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"))))
+    best = F.array_max(F.transform("spans", lambda x: x["dice"]))
+    names = F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("spans", lambda x: x["license"]))))
+    return found.select(F.col("id").alias("doc_id"), F.size("spans").cast("long").alias("n_spans"), names.alias("licenses"), best.alias("best_dice"), spans.alias("spans"))
