@@ -97,7 +97,7 @@ def _signatures(width: int, bands: int, rows: int, seed: int):
                 digests.append((d & 0x7FFFFFFFFFFFFFFF, d >> 65))
                 if len(keys):
                     values.append(signer.values(keys))
-            keys = signer.band_keys(np.array(values).reshape(-1, bands * rows))
+            keys = signer.band_keys(np.array(values, np.uint64).reshape(-1, bands * rows))
             ends = np.append(0, np.cumsum(np.array(sizes) > 0)) * bands
             yield pa.RecordBatch.from_arrays(
                 [
