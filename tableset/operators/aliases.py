@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableset.operators.spread import lookup
+
 
 def alias_members(membership: DataFrame) -> DataFrame:
     """Alias -> sorted distinct member names, for reports. Duplicates go before the shuffle."""
@@ -57,14 +59,15 @@ def same_members(wanted: DataFrame, current: DataFrame) -> DataFrame:
     return pairs.groupBy("alias").agg((F.min(F.least("w", "c")) == 1).alias("same"))
 
 
-def scan_alias(rows: DataFrame, membership: DataFrame, alias: str) -> DataFrame:
+def scan_alias(rows: DataFrame, membership: DataFrame, alias: str, spread_by: str = "_id") -> DataFrame:
     """Rows of all versions an alias points at; ``rows`` carries ``version_name``.
 
-    A semi-join: over a table partitioned by version name Spark prunes the other versions
-    at run time. An unknown alias gives no rows.
+    A semi-join with the measured list of members: a short one is broadcast, and over a
+    table partitioned by version name Spark prunes the other versions at run time; for a
+    long one hot versions are spread by ``spread_by``. An unknown alias gives no rows.
     """
-    members = membership.filter(F.col("alias") == alias).select("version_name")
-    return rows.join(members, "version_name", "left_semi")
+    members = membership.filter(F.col("alias") == alias).select("version_name").distinct()
+    return lookup(rows, members, ["version_name"], spread_by, how="left_semi")
 
 
 def unreferenced(versions: DataFrame, membership: DataFrame) -> DataFrame:

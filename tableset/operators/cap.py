@@ -38,7 +38,7 @@ def cap(df: DataFrame, n: int, id_col: str = "_id", top_n_limit: int = TOP_N_LIM
 
 
 def cap_by_key(
-    df: DataFrame, limits: DataFrame, key: str, limit_col: str, id_col: str = "_id", small: bool | None = None
+    df: DataFrame, limits: DataFrame, key: str, limit_col: str, id_col: str = "_id", broadcast: bool = True
 ) -> DataFrame:
     """Per ``key`` the first ``limit_col`` rows by ``id_col`` (unique per key); -1 keeps all.
 
@@ -51,7 +51,7 @@ def cap_by_key(
     )
     ids = lookup(
         df.select(F.col(key).alias("_set"), F.col(id_col).alias("_id")),
-        capped.filter("_limit > 0"), ["_set"], "_id", how="inner", small=small,
+        capped.filter("_limit > 0"), ["_set"], "_id", how="inner", broadcast=broadcast,
     )
     cuts = durable(
         nth_ids(ids, capped.filter("_limit > 0"))
@@ -61,7 +61,7 @@ def cap_by_key(
         )
         .withColumnRenamed("_set", key)
     )
-    joined = lookup(df, cuts, [key], id_col, small=small)
+    joined = lookup(df, cuts, [key], id_col, broadcast=broadcast)
     keep = ~F.coalesce(F.col("_none"), F.lit(False)) & (
         F.col("_last_id").isNull() | (F.col(id_col) <= F.col("_last_id"))
     )
@@ -93,4 +93,6 @@ def nth_ids(ids: DataFrame, limits: DataFrame) -> DataFrame:
         .filter((F.col("_before") < F.col("_limit")) & (F.col("_limit") <= F.col("_before") + F.col("_rows")))
         .select("_set", (F.col("_start") + F.col("_limit") - F.col("_before") - 1).alias("_position"))
     )
-    return ordered.join(holder, ["_set", "_position"]).select("_set", F.col("_id").alias("_last_id"))
+    # One row per set is looked up, so the ids stay where they are.
+    found = lookup(ordered, holder, ["_set", "_position"], "_id", how="inner", salts=1)
+    return found.select("_set", F.col("_id").alias("_last_id"))

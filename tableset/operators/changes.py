@@ -65,7 +65,7 @@ def using_changed(
     set_pipeline: Column,
     spread_by: str,
     key: str = "name",
-    small: bool | None = None,
+    broadcast: bool = True,
 ) -> DataFrame:
     """Add ``pipeline_changed``: whether the pipeline of a row is among ``changed``.
 
@@ -75,7 +75,7 @@ def using_changed(
     flags = changed.select(F.col(key).alias("_pipeline"), F.lit(True).alias("pipeline_changed"))
     marked = sets.withColumn("_pipeline", F.when(set_pipeline != "", set_pipeline))
     return (
-        lookup(marked, flags, ["_pipeline"], spread_by, small=small)
+        lookup(marked, flags, ["_pipeline"], spread_by, broadcast=broadcast)
         .withColumn("pipeline_changed", F.coalesce(F.col("pipeline_changed"), F.lit(False)))
         .drop("_pipeline")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableset.functions.text import ACTION_OPEN, include_names, include_segments, strip_comments
@@ -18,66 +18,73 @@ def _fits_in_a_map(includes: DataFrame) -> bool:
     return rows <= MAX_MAP_ROWS and size <= MAX_MAP_BYTES
 
 
-def _rebuild(df: DataFrame, text: str, found: Column) -> DataFrame:
-    pieces = F.transform(F.col("_names"), lambda n: found[n])
+def _defined(includes: DataFrame) -> DataFrame:
+    """One row per name: its content, and whether it has several. A NULL name is never used."""
+    return (
+        includes.filter(F.col("name").isNotNull())
+        .groupBy("name")
+        .agg(F.struct(F.min("content").alias("content"), (F.count(F.lit(1)) > 1).alias("several")).alias("include"))
+    )
+
+
+_FOUND = "map<string,struct<content:string,several:boolean>>"
+
+
+def _rebuild(df: DataFrame, text: str) -> DataFrame:
+    """Texts with an action, from ``_found``: the includes by name that they use."""
+    df = df.withColumn("_names", include_names(text)).withColumn("_segments", include_segments(text))
+    found = F.col("_found")
+    pieces = F.transform(F.col("_names"), lambda n: found[n]["content"])
     joined = F.when(
         F.size("_names") > 0,
         F.array_join(
             F.zip_with(F.col("_segments"), pieces, lambda s, p: F.concat(s, F.coalesce(p, F.lit("")))), ""
         ),
     ).otherwise(F.col(text))
-    missing = F.array_distinct(F.filter(F.col("_names"), lambda n: found[n].isNull()))
+    several = F.array_distinct(F.filter(F.col("_names"), lambda n: F.coalesce(found[n]["several"], F.lit(False))))
+    missing = F.array_distinct(F.filter(F.col("_names"), lambda n: found[n]["content"].isNull()))
     other_action = F.exists(F.col("_segments"), lambda s: s.contains(ACTION_OPEN))
-    error = F.when(other_action, F.lit("unsupported action")).when(
-        F.size(missing) > 0, F.concat(F.lit("missing include: "), F.array_join(missing, ", "))
+    error = (
+        F.when(other_action, F.lit("unsupported action"))
+        .when(F.size(several) > 0, F.concat(F.lit("include with several texts: "), F.array_join(several, ", ")))
+        .when(F.size(missing) > 0, F.concat(F.lit("missing include: "), F.array_join(missing, ", ")))
     )
     return (
         df.withColumn("include_error", error)
-        .withColumn("_joined", joined)
-        .withColumn(text, F.when(F.col("include_error").isNull(), strip_comments("_joined")))
-        .drop("_joined")
+        .withColumn(text, F.when(F.col("include_error").isNull(), strip_comments(joined)))
+        .drop("_names", "_segments", "_found")
     )
 
 
-def expand_includes(
-    df: DataFrame, includes: DataFrame, key: str, text: str = "content", small: bool | None = None
-) -> DataFrame:
+def expand_includes(df: DataFrame, includes: DataFrame, key: str, text: str = "content", broadcast: bool = True) -> DataFrame:
     """Replace ``{{{ include "NAME" }}}`` in ``text`` and strip comments afterwards.
 
-    ``includes`` has one row per ``name`` with its ``content``. Included text is not
-    expanded again. A missing include or any other action makes ``text`` NULL and fills
-    ``include_error``; a NULL text counts as empty.
+    ``includes`` has a ``name`` and its ``content``. Included text is not expanded again. A
+    missing include, one whose name is given several times, or any other action makes
+    ``text`` NULL and fills ``include_error``; a NULL text counts as empty, and so does an
+    empty include. Names that no text uses may be missing content or be given several times.
 
-    The size of ``includes`` is measured (or stated by ``small``). A small table becomes
-    one map, and the texts are not shuffled at all. Beyond that, the distinct
-    (``key``, name) pairs, without the texts, are joined to the includes (salted, as one
-    name may be used everywhere), and each key gets back only what it uses.
+    The size of ``includes`` is measured. A small table becomes one map (unless
+    ``broadcast=False``). Beyond that, the distinct (``key``, name) pairs, without the
+    texts, are joined to the includes, spread where one name is used everywhere, and each
+    key gets back only what it uses. Texts without an action are never shuffled.
     """
-    if small is None:
-        small = _fits_in_a_map(includes)
-    # Texts without any action, the usual case, are only searched for its first bytes.
+    defined = _defined(includes)
+    filled = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     action = F.col(text).contains(ACTION_OPEN)
-    none = F.array().cast("array<string>")
-    prepared = (
-        df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-        .withColumn("_names", F.when(action, include_names(text)).otherwise(none))
-        .withColumn("_segments", F.when(action, include_segments(text)).otherwise(none))
-    )
-    if small:
-        table = includes.agg(
-            F.map_from_entries(F.collect_list(F.struct("name", "content"))).alias("found")
-        ).scalar()
-        return _rebuild(prepared.withColumn("_found", table), text, F.col("_found")).drop(
-            "_names", "_segments", "_found"
-        )
-    uses = df.filter(action).select(key, F.explode(F.array_distinct(include_names(text))).alias("name"))
-    contents = includes.select("name", F.col("content").alias("_content"))
+    plain = filled.filter(~action).withColumn("include_error", F.lit(None).cast("string")).withColumn(text, strip_comments(text))
+    acting = filled.filter(action)
+    entries = F.map_from_entries(F.collect_list(F.struct("name", "include"))).cast(_FOUND)
+    if broadcast and _fits_in_a_map(includes):
+        table = defined.agg(entries.alias("found")).scalar()
+        return plain.unionByName(_rebuild(acting.withColumn("_found", table), text))
+    uses = acting.select(key, F.explode(F.array_distinct(include_names(text))).alias("name"))
     found = (
-        lookup(uses, contents, ["name"], key, how="inner", small=False, salts=16)
+        lookup(uses, defined, ["name"], key, how="inner", broadcast=False, salts=16)
         .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("name", "_content"))).alias("_found"))
+        .agg(entries.alias("_found"))
     )
-    joined = prepared.join(found, key, "left").withColumn(
-        "_found", F.coalesce(F.col("_found"), F.create_map().cast("map<string,string>"))
+    joined = acting.join(found, key, "left").withColumn(
+        "_found", F.coalesce(F.col("_found"), F.create_map().cast(_FOUND))
     )
-    return _rebuild(joined, text, F.col("_found")).drop("_names", "_segments", "_found")
+    return plain.unionByName(_rebuild(joined, text))

@@ -19,25 +19,25 @@ def search(df: DataFrame, where: Column, order: Sequence[Column], size: int) ->
     return df.filter(where).orderBy(*order).limit(size)
 
 
-def get_by_ids(ids: DataFrame, df: DataFrame, id_col: str = "_id", small: bool | None = None) -> DataFrame:
+def get_by_ids(ids: DataFrame, df: DataFrame, id_col: str = "_id", broadcast: bool = True) -> DataFrame:
     """One row per requested id, ``_present`` false when there is no such document.
 
     Requests are made unique first. The documents are reduced to the requested ones before
     they join, without a shuffle when the requests are few.
     """
     requested = ids.select(id_col).distinct()
-    found = by_keys(df, requested, [id_col], "left_semi", small).withColumn("_present", F.lit(True))
+    found = by_keys(df, requested, [id_col], "left_semi", broadcast).withColumn("_present", F.lit(True))
     return requested.join(found, id_col, "left").withColumn(
         "_present", F.coalesce(F.col("_present"), F.lit(False))
     )
 
 
 def require_keys(
-    wanted: DataFrame, table: DataFrame, keys: Sequence[str], small: bool | None = None
+    wanted: DataFrame, table: DataFrame, keys: Sequence[str], broadcast: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """``(found rows, missing keys)`` of requested keys."""
     requested = wanted.select(*keys).distinct()
-    found = by_keys(table, requested, list(keys), "left_semi", small)
+    found = by_keys(table, requested, list(keys), "left_semi", broadcast)
     return found, requested.join(found.select(*keys), list(keys), "left_anti")
 
 

@@ -28,7 +28,7 @@ def upsert(
     updates: DataFrame,
     keys: Sequence[str] = ("_id",),
     order: Sequence[Column] = (),
-    small: bool | None = None,
+    broadcast: bool = True,
 ) -> DataFrame:
     """Next state: updated rows replace rows of the same key, new keys are added.
 
@@ -36,7 +36,7 @@ def upsert(
     must be unique. Only the update *keys* meet the base: when they are measured to be few,
     the base is not shuffled (see ``by_keys``).
     """
-    kept = by_keys(base, updates.select(*keys), list(keys), "left_anti", small)
+    kept = by_keys(base, updates.select(*keys), list(keys), "left_anti", broadcast)
     if order:
         updates = first_by(updates, keys, [c.desc() for c in order])
     return kept.unionByName(updates.select(*base.columns))

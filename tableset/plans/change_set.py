@@ -71,7 +71,7 @@ def index_set_changes(
     membership: DataFrame,
     changed_pipelines: DataFrame,
     env: str,
-    small_pipelines: bool | None = None,
+    broadcast_pipelines: bool = True,
 ) -> DataFrame:
     """Desired index sets with ``status``, ``pipeline_changed`` and their alias' members.
 
@@ -85,7 +85,7 @@ def index_set_changes(
         index_set_meta_json(F.col("meta")).alias("meta"),
     )
     pipeline = pipeline_id(F.col("settings.reindex.pipeline"), F.lit(env))
-    flagged = using_changed(sets, changed_pipelines, pipeline, "key", small=small_pipelines)
+    flagged = using_changed(sets, changed_pipelines, pipeline, "key", broadcast=broadcast_pipelines)
     logged = entries_of(log, "index_set", env).withColumnRenamed("resource_identifier", "key")
     latest = latest_entries(logged, keys=["key"])
     return change_status(flagged, latest, keys=["key"]).join(members_by_set(membership, env), "key", "left")
@@ -158,7 +158,7 @@ def planned_actions(
     live_pipelines: DataFrame,
     version: str,
     prototype_env: str = "",
-    small_pipelines: bool | None = None,
+    broadcast_pipelines: bool = True,
 ) -> DataFrame:
     """Change set and errors as one frame, so that both come from one evaluation.
 
@@ -167,7 +167,7 @@ def planned_actions(
     env = desired.env
     pipelines = pipeline_changes(desired.pipelines, live_pipelines, env)
     sets = index_set_changes(
-        desired.index_sets, log, membership, changed_only(pipelines).select("name"), env, small_pipelines
+        desired.index_sets, log, membership, changed_only(pipelines).select("name"), env, broadcast_pipelines
     )
     documents = document_changes(desired.documents, log, env)
     stage = F.element_at(F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair]), F.col("kind"))
@@ -202,7 +202,7 @@ def change_set(
     live_pipelines: DataFrame,
     version: str,
     prototype_env: str = "",
-    small_pipelines: bool | None = None,
+    broadcast_pipelines: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``(changes, errors)``: one row per action, and every reason not to go on.
 
@@ -211,7 +211,7 @@ def change_set(
     alias and the new member. The members to remove follow from ``removals``.
     """
     return split_errors(
-        planned_actions(desired, log, membership, live_pipelines, version, prototype_env, small_pipelines)
+        planned_actions(desired, log, membership, live_pipelines, version, prototype_env, broadcast_pipelines)
     )
 
 

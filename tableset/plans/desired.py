@@ -105,18 +105,18 @@ def _include_errors(df: DataFrame, kind: str, key: str) -> DataFrame:
 
 def resolve_rows(
     env: str, set_files: DataFrame, pipeline_files: DataFrame, document_files: DataFrame, includes: DataFrame,
-    small_includes: bool | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    broadcast_includes: bool = True, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Desired:
     """Desired state from parsed file rows (``kind``, ``identifier``, ``env``, ``path``, ``content``).
 
     ``keep`` is applied to each resolved table before it is split into rows and errors.
     """
-    sets = expand_includes(resolve_index_sets(set_files, env), includes, "index_set", small=small_includes)
+    sets = expand_includes(resolve_index_sets(set_files, env), includes, "index_set", broadcast=broadcast_includes)
     pipelines = expand_includes(
-        resolve_pipelines(pipeline_files, env), includes, "name", text="definition", small=small_includes
+        resolve_pipelines(pipeline_files, env), includes, "name", text="definition", broadcast=broadcast_includes
     )
     documents = expand_includes(
-        resolve_documents(document_files, env), includes, "identifier", small=small_includes
+        resolve_documents(document_files, env), includes, "identifier", broadcast=broadcast_includes
     )
     sets, pipelines, documents = keep(sets), keep(pipelines), keep(documents)
     errors = reduce(

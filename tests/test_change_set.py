@@ -167,11 +167,11 @@ def test_changed_pipeline_moves_its_sets(spark):
     assert rows[3].pipeline == "env-p"
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_pipeline_lookup_both_ways(spark, small):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_pipeline_lookup_both_ways(spark, broadcast):
     sets = spark.createDataFrame([(i, "p" if i % 2 else ("" if i % 4 else "q")) for i in range(200)], "k INT, pipeline STRING")
     changed = spark.createDataFrame([("p",), ("",)], "name STRING")
-    got = using_changed(sets, changed, sets.pipeline, "k", small=small).collect()
+    got = using_changed(sets, changed, sets.pipeline, "k", broadcast=broadcast).collect()
     assert len(got) == 200
     assert all(r.pipeline_changed == (r.k % 2 == 1) for r in got)
 

@@ -26,13 +26,13 @@ def test_cap_rejects_nonsense(spark):
         cap(spark.range(1).withColumnRenamed("id", "_id"), -2)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_cap_by_key_with_a_hot_key(spark, small):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_cap_by_key_with_a_hot_key(spark, broadcast):
     # Key 0 holds most rows.
     key = F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10)
     df = spark.range(3000).select(key.alias("k"), F.format_string("%05d", F.col("id")).alias("_id"), "id")
     limits = {0: 1234, 7: 0, 8: -1, 9: 100_000}
-    got = cap_by_key(df, spark.createDataFrame(list(limits.items()), "k INT, n INT"), "k", "n", small=small)
+    got = cap_by_key(df, spark.createDataFrame(list(limits.items()), "k INT, n INT"), "k", "n", broadcast=broadcast)
     assert got.columns == ["k", "_id", "id"]
     rows = df.collect()
     expected = []

@@ -66,19 +66,19 @@ def test_upsert_leaves_the_base_where_it_is(spark, plan_of):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
-def test_small_includes_leave_the_texts_where_they_are(spark, plan_of):
+def test_broadcast_includes_leave_the_texts_where_they_are(spark, plan_of):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", F.col("text").alias("content"))
     includes = spark.createDataFrame([("a", "1")], "name STRING, content STRING")
     plan = plan_of(expand_includes(docs, includes, "doc_id"))
     main, _, _ = plan.partition("Subquery")
-    assert "hashpartitioning" not in plan and "Join" not in main
+    assert "hashpartitioning" not in main and "Join" not in main
 
 
 def test_hot_key_is_spread(spark):
     """One key holds all rows and the lookup table is large: the rows still meet it in many tasks."""
     left = spark.range(20_000).select("id", F.lit("hot").alias("k"))
     right = spark.createDataFrame([("hot", 1), ("cold", 2)], "k STRING, v INT")
-    salted = lookup(left, right, ["k"], "id", small=False, salts=16)
+    salted = lookup(left, right, ["k"], "id", broadcast=False, salts=16, hot_rows=1000)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:

@@ -34,13 +34,13 @@ def test_overlay_of_the_default_environment(spark):
     assert [r.path for r in overlay(df, ["id"], "env", "default").collect()] == ["1"]
 
 
-@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("broadcast", [True, False])
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_lookup_agrees_with_a_plain_join(spark, small, how):
+def test_lookup_agrees_with_a_plain_join(spark, broadcast, how):
     left = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k5", 3)], "k STRING, v INT")
     want = left.join(right, "k", how)
-    got = lookup(left, right, ["k"], "id", how=how, small=small)
+    got = lookup(left, right, ["k"], "id", how=how, broadcast=broadcast)
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 

@@ -29,23 +29,38 @@ TEMPLATES = {
 }
 
 
-@pytest.mark.parametrize("small", [True, False, None])
-def test_expand_includes(spark, small):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_expand_includes(spark, broadcast):
     df = spark.createDataFrame([(k, v[0]) for k, v in TEMPLATES.items()], "key STRING, content STRING")
     includes = spark.createDataFrame(INCLUDES, "name STRING, content STRING")
-    got = expand_includes(df, includes, "key", small=small)
+    got = expand_includes(df, includes, "key", broadcast=broadcast)
     assert got.columns == ["key", "content", "include_error"]
     assert {r.key: (r.content, r.include_error) for r in got.collect()} == {k: v[1:] for k, v in TEMPLATES.items()}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_expand_without_includes(spark, small):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_expand_without_includes(spark, broadcast):
     df = spark.createDataFrame([("k", "text"), ("m", '{{{ include "a" }}}')], "key STRING, content STRING")
     includes = spark.createDataFrame([], "name STRING, content STRING")
-    got = {r.key: (r.content, r.include_error) for r in expand_includes(df, includes, "key", small=small).collect()}
+    got = {r.key: (r.content, r.include_error) for r in expand_includes(df, includes, "key", broadcast=broadcast).collect()}
     assert got == {"k": ("text", None), "m": (None, "missing include: a")}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_includes_with_doubtful_names(spark, broadcast):
+    """Both paths agree on names given twice (used or not), without name, without or with empty content."""
+    rows = [("a", "A"), ("b", "B"), ("b", "C"), (None, "N"), (None, "M"), ("e", ""), ("n", None)]
+    texts = {n: f'x{{{{{{ include "{n}" }}}}}}' for n in "aben"}
+    df = spark.createDataFrame(list(texts.items()), "key STRING, content STRING")
+    got = expand_includes(df, spark.createDataFrame(rows, "name STRING, content STRING"), "key", broadcast=broadcast)
+    assert {r.key: (r.content, r.include_error) for r in got.collect()} == {
+        "a": ("xA", None),
+        "b": (None, "include with several texts: b"),
+        "e": ("x", None),
+        "n": (None, "missing include: n"),
+    }
+
+
 def test_comment_needs_an_end(spark):
     row = spark.range(1).select(strip_comments(F.lit("a /* b")), strip_comments(F.lit("/* a */ b */"))).first()
     assert tuple(row) == ("a /* b", " b */")

@@ -232,7 +232,7 @@ def expand_includes_large(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("I"), text("s_suppkey")).alias("name"), F.col("s_name").alias("content")
     )
     includes = names.unionByName(_region_includes(spark, sf_dir))
-    return _expanded(expand_includes(_templates(spark, sf_dir, n), includes, "_id", small=False))
+    return _expanded(expand_includes(_templates(spark, sf_dir, n), includes, "_id", broadcast=False))
 
 
 _META_SQL = """
