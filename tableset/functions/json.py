@@ -9,11 +9,39 @@ from pyspark.sql import functions as F
 # lose a trailing ".0". Possessive, so long strings need no stack.
 _WHOLE_DOUBLE = r'("(?:[^"\\]++|\\.)*+")|(-?\d+)\.0(?=[,}\]]|\z)'
 
+# Tokens of a text: strings, runs of number characters, anything else.
+_TOKENS = r'(?s)"(?:[^"\\]++|\\.)*+"|[-+0-9.][-+0-9.eE]*+|[^"\-+0-9.]++|.'
+_NUMBER = r"^(-?)(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$"
+# Numbers whose spelling the parser would keep: with an exponent, or longer than a long.
+_SPELLED = r"[0-9][eE]|[0-9.]{19}"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _plain_number(token: Column) -> Column:
+    """One spelling for each number: plain digits, or for very large and small ones digits and
+    exponent in a string that no number has otherwise."""
+    part = [F.regexp_extract(token, _NUMBER, i) for i in range(5)]
+    sign, whole, fraction = part[1], part[2], part[3]
+    power = F.coalesce(F.when(part[4] != "", part[4]).try_cast("int"), F.when(part[4] == "", F.lit(0)))
+    digits = F.regexp_replace(F.concat(whole, fraction), "^0+", "")
+    short = F.regexp_replace(digits, "0+$", "")
+    power = power - F.length(fraction) + F.length(digits) - F.length(short)
+    plain = F.regexp_replace(token.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    plain = F.regexp_replace(plain, r"\.$", "")
+    fits = power.between(-18, 19) & (F.length(short) + power <= 20)
+    spelled = F.concat(F.lit('"'), F.lit("\\u0000"), sign, short, F.lit("e"), power.cast("string"), F.lit('"'))
+    number = F.when(short == "", F.lit("0")).when(fits, plain).otherwise(spelled)
+    return F.when(token.rlike(_SPELLED) & token.rlike(_NUMBER), F.coalesce(number, token)).otherwise(token)
+
+
+def _one_spelling(text: Column) -> Column:
+    tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+    return F.when(text.rlike(_SPELLED), F.array_join(F.transform(tokens, _plain_number), "")).otherwise(text)
+
+
 def canonical_json(text: Column | str) -> Column:
     """Comparable text of one JSON value: keys sorted, array order kept, numbers normalised.
 
@@ -21,7 +49,7 @@ def canonical_json(text: Column | str) -> Column:
     trailing text, so the value is parsed inside an array (which must then have one
     element) and inside an object (from which the text is rendered).
     """
-    c = _col(text)
+    c = _one_spelling(_col(text))
     as_array = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     form = F.to_json(F.try_variant_get(as_field, "$.v", "variant"))

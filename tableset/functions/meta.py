@@ -12,11 +12,44 @@ DEFAULT_MAX_DOCS = -1
 DEFAULT_PIPELINE = ""
 DEFAULT_IGNORED = False
 
-# Field names as written in a settings file.
-_INDEX_SET_TEXT = (
-    "index string, prototype struct<disabled: boolean, maxDocs: int>, reindex struct<pipeline: string>"
-)
-_DOCUMENT_TEXT = "ignored boolean"
+# The field paths of a settings file, and the groups among them.
+_PATHS = {
+    "index": "$.index",
+    "disabled": "$.prototype.disabled",
+    "max_docs": "$.prototype.maxDocs",
+    "pipeline": "$.reindex.pipeline",
+    "ignored": "$.ignored",
+}
+_GROUPS = ("prototype", "reindex")
+_TYPES = {"disabled": "boolean", "max_docs": "int", "ignored": "boolean"}
+
+
+def _raw(text: Column, name: str) -> Column:
+    """A setting as text, whether written as text or not; NULL when unset."""
+    return F.try_variant_get(F.try_parse_json(text), _PATHS[name], "string")
+
+
+def _typed(text: Column, name: str) -> Column:
+    raw = _raw(text, name)
+    return F.trim(raw).try_cast(_TYPES[name]) if name in _TYPES else raw
+
+
+def _group(text: Column, name: str) -> Column:
+    """A group of settings, NULL when unset."""
+    group = F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")
+    return F.when(~F.is_variant_null(group), group)
+
+
+def _wrong_types(text: Column, names: tuple[str, ...], groups: tuple[str, ...] = ()) -> list[Column]:
+    """An error for each setting that is there but can't be read as its type."""
+    settings = [
+        F.when(_raw(text, n).isNotNull() & _typed(text, n).isNull(), F.lit(f"{_PATHS[n][2:]} isn't of type {_TYPES[n]}"))
+        for n in names
+    ]
+    return settings + [
+        F.when(_group(text, g).isNotNull() & F.try_variant_get(_group(text, g), "$", "map<string,variant>").isNull(), F.lit(f"{g} isn't a group of settings"))
+        for g in groups
+    ]
 
 
 def _index_set(index: Column, disabled: Column, max_docs: Column, pipeline: Column) -> Column:
@@ -31,34 +64,27 @@ def _index_set(index: Column, disabled: Column, max_docs: Column, pipeline: Colu
 
 
 def index_set_meta(text: Column) -> Column:
-    """Settings of an index set from JSON text; NULL text and unset keys give the defaults."""
-    raw = F.from_json(text, _INDEX_SET_TEXT)
-    return _index_set(
-        raw["index"], raw["prototype"]["disabled"], raw["prototype"]["maxDocs"], raw["reindex"]["pipeline"]
-    )
+    """Settings of an index set from JSON text; NULL text and unset keys give the defaults.
+
+    Numbers and truth values may be written as text. What can't be read is an error of
+    ``index_set_meta_errors``; the default that stands here for it must not be used.
+    """
+    return _index_set(*(_typed(text, n) for n in ("index", "disabled", "max_docs", "pipeline")))
 
 
 def document_meta(text: Column) -> Column:
-    raw = F.from_json(text, _DOCUMENT_TEXT)
-    return F.struct(F.coalesce(raw["ignored"], F.lit(DEFAULT_IGNORED)).alias("ignored"))
+    return F.struct(F.coalesce(_typed(text, "ignored"), F.lit(DEFAULT_IGNORED)).alias("ignored"))
+
+
+def document_meta_errors(text: Column) -> Column:
+    return F.array_compact(F.array(*_wrong_types(text, ("ignored",))))
 
 
 def index_set_meta_errors(text: Column) -> Column:
-    """Conflicts of an index set's settings: a static index excludes the two other groups."""
-    raw = F.from_json(text, _INDEX_SET_TEXT)
-    static = F.coalesce(raw["index"], F.lit("")) != ""
-    return F.array_compact(
-        F.array(
-            F.when(
-                static & raw["prototype"].isNotNull(),
-                F.lit("can't specify both static index and prototype index configuration"),
-            ),
-            F.when(
-                static & raw["reindex"].isNotNull(),
-                F.lit("can't specify both static index and reindexing configuration"),
-            ),
-        )
-    )
+    """What is wrong with an index set's settings: unreadable values, and groups beside a static index."""
+    static = F.coalesce(_raw(text, "index"), F.lit("")) != ""
+    beside = [F.when(static & _group(text, g).isNotNull(), F.lit(f"a static index takes no {g} settings")) for g in _GROUPS]
+    return F.array_compact(F.array(*beside, *_wrong_types(text, ("disabled", "max_docs"), _GROUPS)))
 
 
 def index_set_meta_json(meta: Column) -> Column:

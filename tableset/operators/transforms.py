@@ -10,13 +10,16 @@ so that they can be counted and reported.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableset.schemas import FAILURE
+from tableset.session import setting
 
 Step = dict[str, dict]
 
@@ -114,7 +117,16 @@ def _date(df: DataFrame, spec: dict) -> DataFrame:
 
 
 def _drop(df: DataFrame, spec: dict) -> DataFrame:
-    return mark(df, F.expr(spec["if"]), DROPPED, F.lit(None))
+    """Drop where the condition holds. A document whose fields are there, but of a kind the
+    condition can't compare (a word where it wants a number), fails."""
+    # Without ANSI casts a failed one is NULL instead of an error that ends the job.
+    with setting(df.sparkSession, "spark.sql.ansi.enabled", "false"):
+        judged = df.withColumn("_holds", F.expr(spec["if"]).cast("boolean"))
+    used = [c for c in df.columns if c != "_mark" and re.search(rf"(?<!\w){re.escape(c)}(?!\w)", spec["if"])]
+    present = reduce(lambda a, b: a & b, [_field(df, c).isNotNull() for c in used], F.lit(bool(used)))
+    reason = f"unable to evaluate [{spec['if']}]"
+    judged = mark(judged, F.col("_holds").isNull() & present, "illegal_argument_exception", reason)
+    return mark(judged, F.col("_holds"), DROPPED, F.lit(None)).drop("_holds")
 
 
 STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
@@ -157,9 +169,8 @@ def fit_to_schema(df: DataFrame, schema: T.StructType, carry: Sequence[str] = ("
             continue
         value = _field(df, field.name)
         if isinstance(df.schema[field.name].dataType, (T.ArrayType, T.MapType, T.StructType)):
-            columns.append(F.to_json(value).cast(field.dataType).alias(field.name))
-            continue
-        if df.schema[field.name].dataType == field.dataType:
+            value = F.to_json(value)
+        elif df.schema[field.name].dataType == field.dataType:
             columns.append(value.alias(field.name))
             continue
         fitted = value.try_cast(field.dataType)

@@ -13,6 +13,7 @@ from tableset.operators.aliases import alias_bounds
 from tableset.operators.changes import change_status, changed_only, definition_status, needs_action, using_changed
 from tableset.operators.latest import entries_of, latest_entries
 from tableset.plans.desired import Desired
+from tableset.plans.reindex import seed_source
 from tableset.schemas import CHANGE_SET
 
 # The order of the stages.
@@ -97,7 +98,6 @@ def index_set_actions(changes: DataFrame, env: str, version: str, prototype_env:
     index = F.when(static, F.col("settings.index")).otherwise(
         version_name(F.col("key"), F.lit(env), F.lit(version))
     )
-    has_prototype = bool(prototype_env) and prototype_env != env
     named = changes.withColumns(
         {
             "static": static,
@@ -106,7 +106,9 @@ def index_set_actions(changes: DataFrame, env: str, version: str, prototype_env:
             "prototype": alias_name(F.col("key"), F.lit(prototype_env)),
             "pipeline": pipeline_id(F.col("settings.reindex.pipeline"), F.lit(env)),
             "present": F.col("first_member").isNotNull(),
-            "seeded": F.lit(has_prototype) & ~F.col("settings.prototype.disabled"),
+            "seeded": seed_source(
+                env, prototype_env, F.col("settings.prototype.disabled"), F.col("settings.index"), F.col("first_member").isNotNull()
+            ),
         }
     )
     only_member = "(first_member = index AND last_member = index)"
@@ -115,7 +117,7 @@ def index_set_actions(changes: DataFrame, env: str, version: str, prototype_env:
         INDEX_SET_STAGE,
         _action("create_index", "NOT static", target="index", definition="content"),
         _action(
-            "reindex", "NOT static AND NOT present AND seeded",
+            "reindex", "seeded",
             source="prototype", target="index", max_docs="settings.prototype.max_docs", pipeline="pipeline",
         ),
         _action(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableset.functions.json import valid_object
-from tableset.functions.meta import document_meta, index_set_meta, index_set_meta_errors
+from tableset.functions.meta import document_meta, document_meta_errors, index_set_meta, index_set_meta_errors
 from tableset.functions.names import split_document_id
 from tableset.operators.includes import expand_includes
 from tableset.operators.overlay import overlay
@@ -75,9 +75,8 @@ def resolve_documents(files: DataFrame, env: str) -> DataFrame:
     """Documents with typed ``meta`` and ``errors``; settings without a document are left out."""
     joined = join_meta(resolve_kind(files, "resource", env), resolve_kind(files, "meta", env), "left")
     parts = split_document_id(F.col("identifier"))
-    errors = F.array_compact(
-        F.array(F.when(~parts["valid"], F.lit(BAD_DOCUMENT_NAME)), _bad_meta(F.col("meta_text")))
-    )
+    named = F.array(F.when(~parts["valid"], F.lit(BAD_DOCUMENT_NAME)), _bad_meta(F.col("meta_text")))
+    errors = F.array_compact(F.concat(named, document_meta_errors(F.col("meta_text"))))
     return joined.select(
         "identifier",
         parts["head"].alias("index_set"),

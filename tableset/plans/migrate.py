@@ -86,6 +86,7 @@ def copy_documents(store: Store, changes: DataFrame, created: DataFrame) -> None
         F.col("source").alias("alias"), F.col("target").alias("version_name"), "max_docs",
         F.coalesce("pipeline", F.lit("")).alias("pipeline"),
     ).join(created, "version_name")
+    check_sources(store, copies)
     groups = copies.groupBy("layout", "pipeline").agg(F.min("definition").alias("definition")).collect()
     for group in groups:
         mine = copies.filter(
@@ -94,6 +95,17 @@ def copy_documents(store: Store, changes: DataFrame, created: DataFrame) -> None
         copy_group(store, mine, group["definition"], stored_steps(store, group["pipeline"]))
 
 
+def check_sources(store: Store, copies: DataFrame) -> None:
+    """Every alias to copy from has members, and every member is a known version: else a copy would be empty."""
+    members = copies.select("alias").distinct().join(store.membership(), "alias", "left")
+    members = members.join(store.versions().select("version_name", F.lit(True).alias("known")), "version_name", "left")
+    lost = members.filter(F.col("known").isNull()).orderBy("alias", "version_name").first()
+    if lost is not None and lost["version_name"] is None:
+        raise MigrationError(f"no such alias {lost['alias']!r} to copy from")
+    if lost is not None:
+        raise MigrationError(f"alias {lost['alias']!r} has a member {lost['version_name']!r} that isn't stored")
+
+
 def stored_steps(store: Store, pipeline: str) -> list[Step]:
     if not pipeline:
         return []

@@ -16,22 +16,34 @@ _FILES = "path STRING, file_name STRING, content STRING"
 
 def read_files(spark: SparkSession, directory: str) -> DataFrame:
     """All JSON files below a directory, one row each; a missing directory is empty."""
+    # Whole files as bytes: their paths come as they are, not URL-encoded.
     reader = (
-        spark.read.option("wholetext", True)
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", _JSON_GLOB)
     )
     try:
-        files = reader.text(directory)
+        files = reader.load(directory)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _FILES)
-    return files.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("value").alias("content"),
-    )
+    files = files.select("path", F.col("content").cast("string").alias("content"))
+    empty = spark.createDataFrame([(path, "") for path in empty_files(spark, directory)], "path STRING, content STRING")
+    return files.unionByName(empty).select("path", F.substring_index("path", "/", -1).alias("file_name"), "content")
+
+
+def empty_files(spark: SparkSession, directory: str) -> list[str]:
+    """Paths of the JSON files without content, which Spark's readers leave out."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while listed.hasNext():
+        status = listed.next()
+        name = status.getPath().getName()
+        if status.getLen() == 0 and name.lower().endswith(".json") and name[0] not in "._":
+            found.append(status.getPath().toString())
+    return found
 
 
 def parse_files(files: DataFrame) -> DataFrame:

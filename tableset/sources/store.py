@@ -9,7 +9,8 @@ Everything is Parquet below one root folder:
 A data folder is written once and never changed; the versions table says which folder a
 version name stands for. A snapshot is written next to the former ones and counts from
 the moment its job is committed, so readers see the old or the new table and nothing
-between. Versions with the same declared columns share a layout, so that one job can
+between. A writer claims the number after the snapshot it has read by creating a file of
+that name, which only one can; any other that started from the same snapshot fails. Versions with the same declared columns share a layout, so that one job can
 read or write many of them.
 """
 
@@ -48,6 +49,10 @@ OPEN_WRITERS = 64
 _SNAPSHOT = re.compile(r"snapshot=(\d+)$")
 
 
+class SnapshotConflict(Exception):
+    """Another writer has changed the table, or is about to, since it was read."""
+
+
 class Snapshots:
     """A small table kept as complete snapshots."""
 
@@ -69,18 +74,36 @@ class Snapshots:
                 found.append((int(match.group(1)), bool(done)))
         return sorted(found)
 
+    def current(self) -> tuple[int, DataFrame]:
+        """Number of the newest committed snapshot (0: none), and its rows."""
+        number = max((number for number, committed in self._folders() if committed), default=0)
+        if not number:
+            return 0, self.spark.createDataFrame([], self.schema)
+        return number, self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot={number}")
+
     def read(self) -> DataFrame:
-        done = [number for number, committed in self._folders() if committed]
-        if not done:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot={done[-1]}")
-
-    def write(self, df: DataFrame) -> None:
-        """Next snapshot. Two writers that start from the same state: the second one fails."""
-        folders = self._folders()
-        number = folders[-1][0] + 1 if folders else 1
+        return self.current()[1]
+
+    def write(self, df: DataFrame, base: int) -> None:
+        """The snapshot after number ``base``, which ``df`` was made from."""
+        number = base + 1
+        fs, claim = self._hadoop(f"{self.path}/claims/{number}")
+        fs.mkdirs(claim.getParent())
+        if not fs.createNewFile(claim):
+            raise SnapshotConflict(f"{self.path} has been changed since snapshot {base}; after a broken run call release()")
         df.select(*self.schema.names).write.mode("errorifexists").parquet(f"{self.path}/snapshot={number}")
 
+    def release(self) -> None:
+        """Forget the claim, and the parts, of a write that broke off. Only when no writer is at work."""
+        number = self.current()[0] + 1
+        for path in (f"{self.path}/snapshot={number}", f"{self.path}/claims/{number}"):
+            fs, at = self._hadoop(path)
+            fs.delete(at, True)
+
+    def _hadoop(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -111,10 +134,12 @@ class Store:
         return self._pipelines.read()
 
     def put_pipelines(self, definitions: DataFrame) -> None:
-        self._pipelines.write(upsert(self.pipelines(), definitions, keys=("name",)))
+        base, rows = self._pipelines.current()
+        self._pipelines.write(upsert(rows, definitions, keys=("name",)), base)
 
     def delete_pipelines(self, names: DataFrame) -> None:
-        self._pipelines.write(delete_keys(self.pipelines(), names, on=("name",)))
+        base, rows = self._pipelines.current()
+        self._pipelines.write(delete_keys(rows, names, on=("name",)), base)
 
     # alias membership
 
@@ -123,10 +148,14 @@ class Store:
 
     def swap(self, removes: DataFrame, adds: DataFrame) -> None:
         """Remove and add members of any number of aliases in one write."""
-        self._membership.write(swap(self.membership(), removes, adds))
+        base, rows = self._membership.current()
+        self._membership.write(swap(rows, removes, adds), base)
 
     def publish_view(self, alias: str, schema: T.StructType) -> None:
-        """Point the reader view of an alias at its present members."""
+        """Point the reader view of an alias at its present members.
+
+        The view keeps them: call again after a swap. No migration calls it.
+        """
         self.scan(alias, schema).createOrReplaceTempView(f"`{alias}`")
 
     # table versions
@@ -142,7 +171,8 @@ class Store:
 
     def register(self, rows: DataFrame) -> None:
         """Add versions, or point known ones at other folders, in one write."""
-        self._versions.write(upsert(self.versions(), rows, keys=("version_name",)))
+        base, known = self._versions.current()
+        self._versions.write(upsert(known, rows, keys=("version_name",)), base)
 
     def create_version(self, name: str, definition: str, documents: DataFrame | None = None) -> None:
         """A new version with the declared columns, from good ``documents`` or empty."""
@@ -217,10 +247,11 @@ class Store:
 
     def drop_version(self, name: str) -> None:
         """Delete a version that no alias points at. The only call that deletes data."""
-        row = self.unreferenced().filter(F.col("version_name") == name).first()
+        base, known = self._versions.current()
+        row = unreferenced(known, self.membership()).filter(F.col("version_name") == name).first()
         if row is None:
             raise ValueError(f"version {name!r} is unknown or in use")
-        self._versions.write(self.versions().filter(F.col("version_name") != name))
+        self._versions.write(known.filter(F.col("version_name") != name), base)
         self._delete(f"{self.data_path(row['layout'])}/folder={row['folder']}")
 
     def _fs(self, path: str):
@@ -237,7 +268,7 @@ class Store:
 
 
 def log_rows(rows: DataFrame) -> DataFrame:
-    """Complete log rows: stamped now, numbered in order of their keys unless numbered already."""
+    """Complete log rows: stamped now, and numbered unless they are; numbers of one write differ, in no order of keys."""
     if "entry_seq" not in rows.columns:
         rows = rows.withColumn("entry_seq", F.monotonically_increasing_id())
     return rows.withColumn("timestamp", F.current_timestamp()).select(*CHANGELOG.names)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tableset.operators.cap import cap, cap_by_key
 from tableset.operators.transforms import apply_steps, parse_steps
-from tableset.plans.reindex import newest_per_id, reindex
+from tableset.plans.reindex import copy_rows, newest_per_id, reindex
 from tableset.schemas import declared_schema
 
 SCHEMA = declared_schema('{"mappings": {"properties": {"n": {"type": "long"}, "s": {"type": "text"}, "at": {"type": "date"}}}}')
@@ -152,3 +152,19 @@ def test_declared_schema():
     definition = '{"mappings": {"properties": {"a": {"type": "keyword"}, "b": {"type": "boolean"}, "c": {"type": "geo_point"}, "d": {}}}}'
     assert declared_schema(definition).simpleString() == "struct<a:string,b:boolean,c:string,d:string>"
     assert declared_schema("").simpleString() == declared_schema("{}").simpleString() == "struct<>"
+
+
+def test_no_document_ends_a_copy(spark):
+    """An array where a number is declared, and a condition that can't be compared, reject their documents only."""
+    df = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", None), ("d", "9")], "_id STRING, v STRING")
+    rows = {r._id: (r.v, r._failure and r._failure.cause_type, r.outcome) for r in reindex_rows(df, [{"drop": {"if": "v > 5"}}])}
+    assert rows == {
+        "a": (1, None, "created"), "b": (None, "illegal_argument_exception", "rejected"),
+        "c": (None, None, "created"), "d": (9, "dropped", "dropped"),
+    }
+    rows = {r._id: r._failure.cause_type if r._failure else None for r in reindex_rows(df, [{"split": {"field": "v", "separator": ",", "ignore_missing": True}}])}
+    assert rows == {"a": "mapper_parsing_exception", "b": "mapper_parsing_exception", "c": None, "d": "mapper_parsing_exception"}
+
+
+def reindex_rows(df, steps):
+    return copy_rows(df, declared_schema('{"mappings": {"properties": {"v": {"type": "long"}}}}'), steps).collect()

@@ -42,6 +42,9 @@ SET_CASES = {
     "exact before default whatever the order": (
         {"b/x-default.json": None, "a/x-env1.json": None}, "x-env1.json", DEFAULT,
     ),
+    "settings as text": (
+        {"x-env1.meta.json": '{"prototype": {"disabled": "true", "maxDocs": "7"}}'}, None, ("", True, 7, ""),
+    ),
     "blank meta": ({"x-env1.json": None, "x-env1.meta.json": ""}, "x-env1.json", DEFAULT),
     "upper case extension": ({"x-env1.JSON": None}, "x-env1.JSON", DEFAULT),
 }
@@ -59,9 +62,12 @@ def test_index_sets(spark, tmp_path, case):
 @pytest.mark.parametrize(
     "meta, reason",
     [
-        ('{"index": "y", "prototype": {"disabled": true}}', "can't specify both static index and prototype index configuration"),
-        ('{"index": "y", "reindex": {"pipeline": "p"}}', "can't specify both static index and reindexing configuration"),
+        ('{"index": "y", "prototype": {"disabled": true}}', "a static index takes no prototype settings"),
+        ('{"index": "y", "reindex": {"pipeline": "p"}}', "a static index takes no reindex settings"),
         ('{"index": ', "unreadable settings"),
+        ('{"prototype": {"maxDocs": "seven"}}', "prototype.maxDocs isn't of type int"),
+        ('{"prototype": {"disabled": 7}}', "prototype.disabled isn't of type boolean"),
+        ('{"prototype": 5}', "prototype isn't a group of settings"),
     ],
 )
 def test_bad_settings_are_errors(spark, tmp_path, meta, reason):
@@ -129,3 +135,14 @@ def test_missing_directories_are_empty(spark, tmp_path):
     assert read_includes(spark, str(tmp_path / "none")).count() == 0
     desired, _ = resolve(spark, str(tmp_path), "env1")
     assert sets_of(desired) == {} and errors_of(desired) == []
+
+
+def test_empty_files_and_names_with_spaces(spark, tmp_path):
+    (tmp_path / "sets").mkdir()
+    (tmp_path / "sets" / "e 1+x%-dev.json").write_text("")
+    (tmp_path / "inc").mkdir()
+    (tmp_path / "inc" / "with space.json").write_text("")
+    rows, skipped = read_resources(spark, str(tmp_path / "sets"))
+    assert [(r.identifier, r.env, r.content) for r in rows.collect()] == [("e 1+x%", "dev", "")]
+    assert skipped.count() == 0
+    assert [(r.name, r.content) for r in read_includes(spark, str(tmp_path / "inc")).collect()] == [("with space", "")]

@@ -91,3 +91,21 @@ def test_paths_and_objects(spark):
     df = spark.createDataFrame([('{"a":[{"b":7}]}',), ("[]",), ("{} {}",)], "t STRING")
     got = df.select(json_path("t", "$.a[0].b", "long"), valid_object("t")).collect()
     assert [tuple(r) for r in got] == [(7, True), (None, False), (None, False)]
+
+
+@pytest.mark.parametrize("a,b,status", [
+    ('{"a":1e7}', '{"a":10000000}', "same"),
+    ('{"a":2.5e8}', '{"a":250000000.0}', "same"),
+    ('{"a":5e-4}', '{"a":0.0005}', "same"),
+    ('{"a":[{"b":-1.5E+3}]}', '{"a":[{"b":-1500}]}', "same"),
+    ('{"a":1e30}', '{"a":1000000000000000000000000000000}', "same"),
+    ('{"a":1e-30}', '{"a":10e-31}', "same"),
+    ('{"a":1e30}', '{"a":1000000000000000000000000000001}', "changed"),
+    ('{"a":0e5}', '{"a":0}', "same"),
+    ('{"a":"1e7"}', '{"a":"10000000"}', "changed"),
+    ('{"a":1e7}', '{"a":10000001}', "changed"),
+    ('{"a":01e7}', '{"a":10000000}', "error"),
+    ('{"a":1e7.5}', '{"a":10000000.5}', "error"),
+])
+def test_spellings_of_numbers(spark, a, b, status):
+    assert spark.range(1).select(json_status(F.lit(a), F.lit(b))).first()[0] == status

@@ -8,7 +8,7 @@ from tableset.operators.latest import entries_of
 from tableset.plans.change_set import in_order
 from tableset.plans.migrate import MigrationError, migrate
 from tableset.schemas import CHANGELOG
-from tableset.sources.store import Store
+from tableset.sources.store import SnapshotConflict, Store
 from tests.test_change_set import desired_of
 
 TEXT = '{"mappings": {"properties": {"n": {"type": "keyword"}, "s": {"type": "text"}}}}'
@@ -74,6 +74,7 @@ def test_uncommitted_snapshot_is_not_read(spark, store, tmp_path):
     store.put_pipelines(spark.createDataFrame([("p", "1")], "name STRING, definition STRING"))
     (tmp_path / "store" / "pipelines" / "snapshot=2").mkdir()
     assert [r.definition for r in store.pipelines().collect()] == ["1"]
+    store._pipelines.release()
     store.put_pipelines(spark.createDataFrame([("p", "3")], "name STRING, definition STRING"))
     assert [r.definition for r in store.pipelines().collect()] == ["3"]
 
@@ -256,3 +257,36 @@ def test_runs_are_found_after_a_break(spark, store):
     assert actions(migrate(store, desired, "2")) == ["create_index", "reindex", "update_alias", "write_changelog"]
     assert content(store, "env-x", "_id", "n") == [("a", 1)]
     assert store.changelog().filter(F.col("final_name") == "env-x_2").count() == 1
+
+
+def test_second_writer_from_one_state_fails(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    pipelines = spark.createDataFrame([("p0", "{}")], "name STRING, definition STRING")
+    a.put_pipelines(pipelines)
+    base, rows = b._pipelines.current()
+    a.put_pipelines(pipelines.withColumn("name", F.lit("pa")))
+    with pytest.raises(SnapshotConflict):
+        b._pipelines.write(rows, base)
+    b.put_pipelines(pipelines.withColumn("name", F.lit("pb")))
+    assert sorted(r.name for r in a.pipelines().collect()) == ["p0", "pa", "pb"]
+
+
+def test_release_after_a_broken_write(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("p0", "{}")], "name STRING, definition STRING")
+    broken = rows.withColumn("definition", F.raise_error(F.lit("broken")))
+    with pytest.raises(Exception, match="broken"):
+        store._pipelines.write(broken, 0)
+    with pytest.raises(SnapshotConflict):
+        store.put_pipelines(rows)
+    store._pipelines.release()
+    store.put_pipelines(rows)
+    assert store.pipelines().count() == 1
+
+
+def test_a_source_without_members_stops_the_run(spark, store):
+    """A prototype that isn't stored would give an empty version that no later run repairs."""
+    wanted = desired_of(spark, sets=[("x", TEXT, ("", (False, -1), ("",)))])
+    with pytest.raises(MigrationError, match="no such alias"):
+        migrate(store, wanted, "1", prototype_env="proto")
+    assert store.membership().count() == 0 and store.changelog().count() == 0
