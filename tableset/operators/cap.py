@@ -14,7 +14,7 @@ TOP_N_LIMIT = 10_000
 UNLIMITED = -1
 
 # monotonically_increasing_id keeps the row number of a partition in its low 33 bits.
-_ROW_BITS = 33
+ROW_BITS = 33
 
 
 def cap(df: DataFrame, n: int, id_col: str = "_id", top_n_limit: int = TOP_N_LIMIT) -> DataFrame:
@@ -82,7 +82,7 @@ def nth_ids(ids: DataFrame, limits: DataFrame) -> DataFrame:
         .sortWithinPartitions("_set", "_id")
         .withColumn("_position", F.monotonically_increasing_id())
     )
-    task = F.shiftright("_position", _ROW_BITS)
+    task = F.shiftright("_position", ROW_BITS)
     counts = ordered.groupBy(task.alias("_task"), "_set").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_position").alias("_start")
     )

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableset.functions.meta import document_meta_json, index_set_meta_json
 from tableset.functions.names import alias_name, document_identifier, pipeline_id, version_name
 from tableset.operators.aliases import alias_bounds
+from tableset.operators.cap import ROW_BITS
 from tableset.operators.changes import change_status, changed_only, definition_status, needs_action, using_changed
 from tableset.operators.latest import entries_of, latest_entries
+from tableset.operators.spread import lookup
 from tableset.plans.desired import Desired
 from tableset.plans.reindex import seed_source
 from tableset.schemas import CHANGE_SET
+from tableset.session import durable
 
 # The order of the stages.
 PIPELINE_STAGE, INDEX_SET_STAGE, DOCUMENT_STAGE = 1, 2, 3
@@ -228,6 +231,21 @@ def in_order(changes: DataFrame) -> DataFrame:
     return changes.orderBy("stage", "key", "step")
 
 
+def numbered(changes: DataFrame) -> DataFrame:
+    """Actions with their ``position`` in the order of execution, from 1.
+
+    The sorted actions are kept once; a position is the row number in its task plus the
+    number of rows in the tasks before, so no task sees all actions.
+    """
+    ordered = durable(in_order(changes).withColumn("_place", F.monotonically_increasing_id()))
+    task = F.shiftright("_place", ROW_BITS)
+    counts = ordered.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_task", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    placed = lookup(ordered.withColumn("_task", task), starts, ["_task"], "key", how="inner")
+    return placed.withColumn("position", F.col("_place") + F.col("_shift")).drop("_place", "_task", "_shift")
+
+
 # The sentence of every action.
 CREATE_INDEX = "create index %s"
 WRITE_CHANGELOG = "write %s changelog entry for %s:%s"

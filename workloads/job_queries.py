@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tableset.functions.layout import layout_id
 from tableset.functions.meta import index_set_meta_json
 from tableset.plans.baseline import baseline
-from tableset.plans.change_set import action_text, change_set, removals
+from tableset.plans.change_set import action_text, change_set, numbered, removals
 from tableset.plans.desired import ERROR_COLUMNS, Desired
 from tableset.plans.documents import sync_documents
 from tableset.plans.migrate import migrate
@@ -23,8 +23,9 @@ def text(c: Column | str) -> Column:
 
 
 # The state of the change set queries. Every customer is an index set ``set<key>``, every
-# order an entry of its log, orders above a price make up the alias members, nations are
-# the transforms, documents the documents, and toxic labels mark those to ignore.
+# order an entry of its log and an alias member (of this environment above a price), nations
+# are the transforms, documents the documents, with their texts, and toxic labels mark those
+# to ignore.
 
 
 def _settings(key: Column) -> Column:
@@ -59,7 +60,7 @@ def _desired(spark: SparkSession, sf_dir: str) -> Desired:
     documents = table(spark, sf_dir, "documents").join(ignored, "doc_id", "left").select(
         F.concat(F.lit("set"), text(F.col("doc_id") % 10)).alias("index_set"),
         F.concat(F.lit("d"), text("doc_id")).alias("name"),
-        F.to_json(F.struct("lang", "source", "n_chars")).alias("content"),
+        F.to_json(F.struct("lang", "source", "n_chars", "text")).alias("content"),
         F.struct(F.coalesce("toxic", F.lit(False)).alias("ignored")).alias("meta"),
     )
     none = spark.createDataFrame([], ", ".join(f"{c} STRING" for c in ERROR_COLUMNS))
@@ -85,7 +86,7 @@ def _set_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("document").alias("resource_type"),
         F.concat(F.lit("set"), text(doc % 10), F.lit("/d"), text(doc)).alias("resource_identifier"),
         F.lit("prod").alias("env_name"),
-        F.to_json(F.struct(length.alias("n_chars"), "source", "lang")).alias("content"),
+        F.to_json(F.struct(length.alias("n_chars"), "text", "source", "lang")).alias("content"),
         F.lit('{"Ignored": false}').alias("meta"),
         F.lit("2024-01-01").cast("timestamp").alias("timestamp"),
         doc.alias("entry_seq"),
@@ -100,9 +101,9 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(low, "old")
         .otherwise(F.concat(F.lit("prod-set"), text(key), F.lit("_1998")))
     )
-    return table(spark, sf_dir, "orders").filter("o_totalprice > 250000").select(
-        F.concat(F.lit("prod-set"), text(key)).alias("alias"), version.alias("version_name")
-    )
+    # Cheaper orders are members of another environment's aliases, so these sets have none here.
+    env = F.when(F.col("o_totalprice") > 250000, "prod-set").otherwise("past-set")
+    return table(spark, sf_dir, "orders").select(F.concat(env, text(key)).alias("alias"), version.alias("version_name"))
 
 
 def _live_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ c AS (SELECT s2.*, m.first_member IS NOT NULL AS has, coalesce(first_member = in
   FROM s2 LEFT JOIN l ON l.k = s2.k LEFT JOIN m ON m.key = s2.key),
 w AS (SELECT * FROM c WHERE status IN ('new', 'changed') OR (status = 'same' AND pipeline_changed)),
 d AS (SELECT doc_id, 'set' || (doc_id % 10) AS index_set, 'set' || (doc_id % 10) || '/d' || doc_id AS key, 'd' || doc_id AS name,
-    '{"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || '}' AS content, coalesce(toxic = 1, FALSE) AS ignored
+    '{"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}' AS content, coalesce(toxic = 1, FALSE) AS ignored
   FROM documents LEFT JOIN labels USING (doc_id)),
 dw AS (SELECT *, '{"Ignored":' || ignored || '}' AS meta FROM d WHERE doc_id % 3 <> 2 OR ignored)
 """
@@ -182,6 +183,12 @@ def change_set_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _change_set(spark, sf_dir)[0]
 
 
+@query(_ACTIONS_SQL + "SELECT row_number() OVER (ORDER BY stage, key, step) AS position, stage, key, step, action FROM n")
+def actions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All actions with their place in the order of execution."""
+    return numbered(_change_set(spark, sf_dir)[0]).select("position", "stage", "key", "step", "action")
+
+
 @query(_STATE_SQL + "SELECT 'index_set' AS kind, key, 'definition is not a JSON object' AS reason FROM c WHERE status = 'error'")
 def change_set_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What keeps the change set from being carried out."""
