@@ -34,6 +34,11 @@ CONVERT_TYPES = {
 }
 DATE_TARGET = "@timestamp"
 
+# Column of the fields that a stored definition doesn't declare, and columns that are no fields.
+REST = "_rest"
+SYSTEM = ("_id", "_seq_no", REST, "folder", "version_name", "outcome", "_failure")
+_ENTRIES = "map<string,variant>"
+
 # The mark of a dropped document.
 DROPPED = "dropped"
 
@@ -155,22 +160,54 @@ def apply_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return df
 
 
-def fit_to_schema(df: DataFrame, schema: T.StructType, carry: Sequence[str] = ("_id",)) -> DataFrame:
+def rest_of(entries: Column, declared: Sequence[str]) -> Column:
+    """JSON text of the entries (map of variants) that aren't declared; NULL without any."""
+    left = F.map_filter(entries, lambda k, v: v.isNotNull() & ~k.isin(list(declared)) if declared else v.isNotNull())
+    return F.when(F.size(left) > 0, F.to_json(left))
+
+
+def _as_variant(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    value = _field(df, name)
+    return F.to_variant_object(value) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else value.cast("variant")
+
+
+def _rest(df: DataFrame, schema: T.StructType, carry: Sequence[str]) -> Column:
+    """Fields of the documents that the schema doesn't declare: undeclared columns, and those of ``_rest`` before."""
+    known = {*schema.names, *carry, *SYSTEM, "_mark"}
+    own = [c for c in df.columns if c not in known]
+    pairs = [x for c in own for x in (F.lit(c), _as_variant(df, c))]
+    entries = F.create_map(*pairs) if pairs else F.create_map().cast(_ENTRIES)
+    if REST in df.columns:
+        before = F.coalesce(F.from_json(REST, _ENTRIES), F.create_map().cast(_ENTRIES))
+        # A column of the same name, where there is one, holds what the document has now.
+        kept = F.map_filter(before, lambda k, v: ~k.isin(own)) if own else before
+        entries = F.map_concat(kept, entries)
+    return rest_of(entries, schema.names)
+
+
+def fit_to_schema(df: DataFrame, schema: T.StructType, carry: Sequence[str] = ("_id",), rest: bool = False) -> DataFrame:
     """Columns of the declared schema, by name; a value that does not fit fails the row.
 
-    Undeclared columns are left out, absent ones are NULL. A rejected row keeps its typed
+    Absent columns are taken from ``_rest``, or are NULL. With ``rest`` the undeclared fields
+    are kept in ``_rest`` (JSON text), else they are left out. A rejected row keeps its typed
     columns NULL where the cast failed.
     """
     df = with_marks(df)
+    undeclared = [_rest(df, schema, carry).alias(REST)] if rest else []
     columns = []
     for field in schema.fields:
-        if field.name not in df.columns:
+        before = F.try_variant_get(F.try_parse_json(REST), f"$['{field.name}']", "string") if REST in df.columns else None
+        if field.name not in df.columns and before is None:
             columns.append(F.lit(None).cast(field.dataType).alias(field.name))
             continue
-        value = _field(df, field.name)
-        if isinstance(df.schema[field.name].dataType, (T.ArrayType, T.MapType, T.StructType)):
-            value = F.to_json(value)
-        elif df.schema[field.name].dataType == field.dataType:
+        value = before if field.name not in df.columns else _field(df, field.name)
+        kind = T.StringType() if field.name not in df.columns else df.schema[field.name].dataType
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            value, kind = F.to_json(value), None
+        if before is not None and field.name in df.columns:
+            value, kind = F.coalesce(value.cast("string"), before) if kind != T.StringType() else F.coalesce(value, before), T.StringType()
+        if kind == field.dataType:
             columns.append(value.alias(field.name))
             continue
         fitted = value.try_cast(field.dataType)
@@ -180,7 +217,7 @@ def fit_to_schema(df: DataFrame, schema: T.StructType, carry: Sequence[str] = ("
         )
         df = mark(df, value.isNotNull() & fitted.isNull(), "mapper_parsing_exception", reason)
         columns.append(fitted.alias(field.name))
-    return df.select(*carry, *columns, "_mark")
+    return df.select(*carry, *columns, *undeclared, "_mark")
 
 
 def outcome(mark_col: str = "_mark") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableset.functions.json import valid_object
-from tableset.operators.transforms import failure, fit_to_schema
+from tableset.operators.transforms import REST, failure, fit_to_schema, rest_of
 from tableset.operators.upsert import upsert
 from tableset.plans.change_set import document_actions, document_changes, split_errors
 
@@ -42,11 +42,14 @@ def log_entries(changes: DataFrame, env: str) -> DataFrame:
 
 
 def parse_documents(writes: DataFrame, schema: T.StructType, carry: tuple[str, ...] = ("_id",)) -> DataFrame:
-    """JSON bodies as columns of a declared schema; bad bodies and values fail the row."""
+    """JSON bodies as columns of a declared schema, and ``_rest``; bad bodies and values fail the row."""
     body = F.try_parse_json("_source")
     columns = [F.try_variant_get(body, f"$['{f.name}']", "string").alias(f.name) for f in schema.fields]
-    parsed = writes.select(*carry, *columns, valid_object("_source").alias("_valid"))
-    fitted = fit_to_schema(parsed, schema, carry=(*carry, "_valid"))
+    entries = F.coalesce(F.try_variant_get(body, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    rest = rest_of(entries, schema.names).alias(REST)
+    parsed = writes.select(*carry, *columns, valid_object("_source").alias("_valid"), rest)
+    # Declared fields have come from the body already, so none is left to be taken from the rest.
+    fitted = fit_to_schema(parsed, schema, carry=(*carry, "_valid"), rest=True)
     bad = failure("mapper_parsing_exception", "document to index wasn't valid json")
     return fitted.withColumn("_failure", F.when(~F.col("_valid"), bad).otherwise(F.col("_mark"))).drop(
         "_valid", "_mark"

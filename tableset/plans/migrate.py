@@ -132,7 +132,7 @@ def copy_group(store: Store, copies: DataFrame, definition: str, steps: list[Ste
     if not limits.filter(F.col("max_docs") != UNLIMITED).isEmpty():
         rows = cap_by_key(rows, limits, "folder", "max_docs")
     schema = declared_schema(definition)
-    store.write_folders(copy_rows(rows, schema, steps, carry=("folder", "_id")), definition)
+    store.write_folders(copy_rows(rows, schema, steps, carry=("folder", "_id"), rest=True), definition)
     verify_copy(store, rows, limits, definition)
 
 

@@ -20,10 +20,13 @@ def newest_per_id(src: DataFrame, version_col: str = "version_name", also: Seque
 
 
 def copy_rows(
-    src: DataFrame, schema: T.StructType, steps: Sequence[Step] = (), carry: tuple[str, ...] = ("_id",)
+    src: DataFrame, schema: T.StructType, steps: Sequence[Step] = (), carry: tuple[str, ...] = ("_id",), rest: bool = False
 ) -> DataFrame:
-    """Every source document with its new columns, ``_failure`` and ``outcome``. No shuffle."""
-    fitted = fit_to_schema(apply_steps(src, steps), schema, carry)
+    """Every source document with its new columns, ``_failure`` and ``outcome``. No shuffle.
+
+    With ``rest`` also ``_rest``, the fields that the schema doesn't declare.
+    """
+    fitted = fit_to_schema(apply_steps(src, steps), schema, carry, rest)
     return fitted.withColumn("outcome", outcome()).withColumnRenamed("_mark", "_failure")
 
 

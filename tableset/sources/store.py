@@ -214,7 +214,8 @@ class Store:
 
         One scan per layout, pruned to the folders of the versions at run time. Without a
         schema the columns of all layouts are united by name; a column with several types
-        becomes text. A column that a version does not have is NULL.
+        becomes text. A column that a version does not have is NULL. ``_rest`` is the JSON
+        text of the fields that a document's definition does not declare, NULL without any.
         """
         layouts = versions.groupBy("layout").agg(F.min("definition").alias("definition")).orderBy("layout")
         # One row per distinct set of declared columns.
@@ -225,11 +226,11 @@ class Store:
             folders = versions.filter(F.col("layout") == layout).select("folder", "version_name")
             rows = self.read_layout(layout, columns).filter(F.col("outcome") == "created")
             part = lookup(rows, folders, ["folder"], "_id", how="inner").select(
-                "_id", "_seq_no", *[column_or_null(f, columns) for f in wanted.fields], "version_name"
+                "_id", "_seq_no", *[column_or_null(f, columns) for f in wanted.fields], "_rest", "version_name"
             )
             result = part if result is None else result.unionByName(part)
         if result is None:
-            shape = T.StructType([*struct(_id=STRING, _seq_no=LONG).fields, *wanted.fields, *struct(version_name=STRING).fields])
+            shape = T.StructType([*struct(_id=STRING, _seq_no=LONG).fields, *wanted.fields, *struct(_rest=STRING, version_name=STRING).fields])
             return self.spark.createDataFrame([], shape)
         return result
 
@@ -275,9 +276,9 @@ def log_rows(rows: DataFrame) -> DataFrame:
 
 
 def stored_schema(schema: T.StructType) -> T.StructType:
-    """Columns of a stored version: id, sequence number, declared columns, failure, folders."""
+    """Columns of a stored version: id, sequence number, declared columns, undeclared fields, failure, folders."""
     head = struct(_id=STRING, _seq_no=LONG)
-    tail = struct(_failure=FAILURE, folder=STRING, outcome=STRING)
+    tail = struct(_rest=STRING, _failure=FAILURE, folder=STRING, outcome=STRING)
     return T.StructType([*head.fields, *schema.fields, *tail.fields])
 
 

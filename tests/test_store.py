@@ -1,3 +1,4 @@
+import json
 import uuid
 
 import pytest
@@ -290,3 +291,21 @@ def test_a_source_without_members_stops_the_run(spark, store):
     with pytest.raises(MigrationError, match="no such alias"):
         migrate(store, wanted, "1", prototype_env="proto")
     assert store.membership().count() == 0 and store.changelog().count() == 0
+
+
+def test_undeclared_fields_survive_copies_and_writes(spark, store):
+    """A definition that declares less loses nothing, and a later one takes its fields back, typed."""
+    typed = '{"mappings": {"properties": {"v": {"type": "long"}, "w": {"type": "keyword"}}}}'
+    for version, definition in (("1", typed), ("2", "{}"), ("3", typed)):
+        migrate(store, desired_of(spark, sets=[("x", definition, ("", (False, -1), ("",)))]), version)
+        if version == "1":
+            body = '{"v": 7, "w": "text", "other": {"k": [1, 2]}}'
+            wanted = desired_of(spark, sets=[("x", definition, ("", (False, -1), ("",)))], documents=[("x", "d", body, False)])
+            migrate(store, wanted, "1b")
+        (row,) = store.scan("env-x").collect()
+        rest = json.loads(row._rest)
+        assert rest["other"] == {"k": [1, 2]}
+        if version == "2":
+            assert (rest["v"], rest["w"]) == (7, "text")
+        else:
+            assert (row.v, row.w) == (7, "text") and set(rest) == {"other"}
