@@ -84,8 +84,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and what they decode to."""
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("word_bpe_49k.json"))
-    ids = docs.select("doc_id", "source", tokenizer.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", tokenizer.decode(F.col("ids")).alias("decoded"))
+    tokens = docs.select("doc_id", "source", tokenizer.round_trip(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", "source", F.size("tokens.ids").cast("long").alias("n_tokens"), "tokens.ids", "tokens.decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -10,11 +10,10 @@ their length.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import chain, pairwise
 
 import numpy as np
@@ -27,9 +26,11 @@ SCAN_LIMIT = 128
 #: Words go through the scan in groups of these lengths, so that rows are padded little.
 WIDTHS = (4, 8, 12, 16, 24, 48, SCAN_LIMIT)
 #: Runs of text whose ids a worker keeps; beyond it starts anew.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 250_000
+#: Texts whose ids are returned at once.
+SLICE = 500
 #: Bytes of text that are cut into runs at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -262,40 +263,43 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.nd
     return values[np.repeat(starts[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _codec(key: str, spec: str) -> Codec:
-    """The codec of a Python worker, built once and used by all its tasks."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
-
-
 class Tokenizer:
     """Columns that encode and decode with the vocabulary file at ``path``.
 
-    The driver reads the file (some MB) and broadcasts it, so executors need no copy.
+    The driver reads the file (some MB) and broadcasts it, so executors need no copy. A task
+    builds one codec, which goes with the task.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         with open(path, encoding="utf-8") as file:
             spec = file.read()
         Codec(spec)  # raises here, not in a task
-        shared, key = spark.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest()
-
-        @F.arrow_udf("array<int>")
-        def encode(texts: pa.Array) -> pa.Array:
-            ids, counts = _codec(key, shared.value).encode(t.as_py() for t in texts)
-            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids))
-
-        @F.arrow_udf("string")
-        def decode(ids: pa.Array) -> pa.Array:
-            codec = _codec(key, shared.value)
-            return pa.array([codec.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in ids], pa.string())
-
-        self._encode, self._decode = encode, decode
+        shared = spark.sparkContext.broadcast(spec)
+
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            codec = Codec(shared.value)
+            for batch in batches:
+                for at in range(0, len(batch), SLICE):
+                    ids, counts = codec.encode(t.as_py() for t in batch.slice(at, SLICE))
+                    yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids))
+
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            codec = Codec(shared.value)
+            for batch in batches:
+                for at in range(0, len(batch), SLICE):
+                    ids, counts = codec.encode(t.as_py() for t in batch.slice(at, SLICE))
+                    ends = np.append(0, np.cumsum(counts))
+                    texts = [codec.decode(ids[a:b].tolist()) for a, b in pairwise(ends)]
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                    yield pa.StructArray.from_arrays([lists, pa.array(texts, pa.string())], names=["ids", "decoded"])
+
+        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            codec = Codec(shared.value)
+            for rows in batches:
+                yield pa.array([codec.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in rows], pa.string())
+
+        self._both = F.arrow_udf(both, "struct<ids:array<int>,decoded:string>")
+        self._encode, self._decode = F.arrow_udf(encode, "array<int>"), F.arrow_udf(decode, "string")
 
     def encode(self, text: Column) -> Column:
         """Token ids of a text. NULL and empty texts, and texts of white space only, give no ids."""
@@ -304,3 +308,7 @@ class Tokenizer:
     def decode(self, ids: Column) -> Column:
         """Text of token ids. NULL and empty lists give the empty text."""
         return self._decode(ids)
+
+    def round_trip(self, text: Column) -> Column:
+        """Struct of ``ids`` and of ``decoded``, what these ids decode to, in one pass."""
+        return self._both(text)

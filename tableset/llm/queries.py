@@ -58,12 +58,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("word_bpe_49k.json"))
-    ids = table(spark, sf_dir, "documents").select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
-    return ids.select(
+    tokens = table(spark, sf_dir, "documents").select("doc_id", tokenizer.round_trip(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", "tokens.*").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(tokenizer.decode(F.col("ids")).cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
