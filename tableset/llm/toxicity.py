@@ -33,14 +33,14 @@ STEPS, RATE, DECAY = 300, 0.05, 1e-3
 #: Least likelihood ratio of a feature of the vocabulary.
 RATIO = 12
 #: Words whose features a worker keeps.
-_KEPT = 300_000
+_KEPT = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def word_features(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings, in 32 bits."""
+    """Hashes of a word and of its beginnings, in 32 bits with sign."""
     forms = {word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)}
-    return [xxhash.xxh32_intdigest(x) for x in forms]
+    return [xxhash.xxh32_intdigest(x) - (1 << 31) for x in forms]
 
 
 class Features(dict):
@@ -61,16 +61,35 @@ class Features(dict):
         return set().union(*map(self.__getitem__, set((text or "").lower().split())))
 
 
-def select_features(positive: np.ndarray, n_positive: int, other: np.ndarray, n_other: int, most: int) -> np.ndarray:
-    """Features that the positives have more often than their number leads to expect, by likelihood ratio."""
-    names, counts = np.unique(positive, return_counts=True)
-    others, other_counts = np.unique(other, return_counts=True)
-    at = np.minimum(np.searchsorted(others, names), max(0, len(others) - 1))
-    seen = np.where(others[at] == names, other_counts[at], 0) if len(others) else np.zeros(len(names))
-    expected = n_positive * np.maximum(seen, 0.5) / max(1, n_other)
-    ratio = np.where(counts > expected, 2 * (counts * np.log(counts / expected) - counts + expected), 0)
-    order = np.lexsort((names, -ratio))[:most]
-    return names[order[ratio[order] > RATIO]]
+def select_features(sample: DataFrame, most: int) -> list[int]:
+    """The features that positives have most clearly more often than expected, by likelihood ratio; ``most`` at most."""
+    n = sample.agg(*(F.coalesce(F.sum(x.cast("int")), F.lit(0)) for x in (F.col("positive"), ~F.col("positive")))).first()
+    each = sample.select("positive", F.explode("features").alias("f")).groupBy("f")
+    counts = each.agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("u"))
+    expected = n[0] * F.greatest("u", F.lit(0.5)) / max(1, n[1])
+    ratio = 2 * (F.col("p") * F.log(F.col("p") / expected) - F.col("p") + expected)
+    clear = counts.filter("p > 1").filter(F.col("p") > expected).withColumn("ratio", ratio).filter(F.col("ratio") > RATIO)
+    return [r.f for r in clear.orderBy(F.desc("ratio"), "f").limit(most).collect()]
+
+
+def _columns(vocabulary: dict[int, int]):
+    """Features as their numbers in the vocabulary."""
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.array(sorted(vocabulary), np.int32)
+        number = np.array([vocabulary[f] for f in known.tolist()], np.int32)
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            hit = known[at] == flat
+            ends = np.append(0, np.cumsum(np.bincount(owner[hit], minlength=len(lists))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number[at[hit]]))], names=["positive", "columns"]
+            )
+
+    return columns
 
 
 class Model:
@@ -107,25 +126,20 @@ class Model:
 def _texts_to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Features()
     for batch in batches:
-        found = [np.fromiter(sorted(known.of(t.as_py())), np.int64) for t in batch.column(1)]
+        found = [np.fromiter(sorted(known.of(t.as_py())), np.int32) for t in batch.column(1)]
         ends = np.append(0, np.cumsum([len(x) for x in found], dtype=np.int64))
-        values = np.concatenate([np.empty(0, np.int64), *found])
+        values = np.concatenate([np.empty(0, np.int32), *found])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["positive", "features"])
 
 
-def _train(prior: float, features: int):
+def _train(prior: float, size: int):
     def train(texts: pd.DataFrame) -> pd.DataFrame:
         seed, positive = int(texts["seed"].iloc[0]), texts["positive"].to_numpy(bool)
-        sets = texts["features"].tolist()
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        own = positive[owner]
-        names = select_features(flat[own], positive.sum(), flat[~own], (~positive).sum(), features)
-        order = np.argsort(names)
-        at = np.minimum(np.searchsorted(names, flat, sorter=order), max(0, len(names) - 1))
-        hit = names[order[at]] == flat if len(names) else np.zeros(len(flat), bool)
-        model = Model(len(names))
-        model.fit(owner[hit], order[at[hit]] if len(names) else at[hit], positive, prior, seed)
-        return pd.DataFrame({"seed": [seed], "bias": [model.bias], "names": [names], "weights": [model.weights]})
+        sets = texts["columns"].tolist()
+        columns, rows = np.concatenate(sets).astype(np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        model = Model(size)
+        model.fit(rows, columns, positive, prior, seed)
+        return pd.DataFrame({"seed": [seed], "bias": [model.bias], "weights": [model.weights]})
 
     return train
 
@@ -133,13 +147,9 @@ def _train(prior: float, features: int):
 class Classifier:
     """Score column of the fitted models; without models every score is ``prior``."""
 
-    def __init__(self, models: list, prior: float):
-        names = sorted({int(f) for m in models for f in m["names"]})
-        self.vocabulary = {f: i for i, f in enumerate(names)}
-        self.weights, self.biases = np.zeros((len(models), len(names))), np.array([m["bias"] for m in models])
-        for i, m in enumerate(models):
-            self.weights[i, [self.vocabulary[int(f)] for f in m["names"]]] = m["weights"]
-        self.prior = prior
+    def __init__(self, vocabulary: dict[int, int], biases: list[float], weights: list[list[float]], prior: float):
+        self.vocabulary, self.biases, self.prior = vocabulary, np.array(biases), prior
+        self.weights = np.array(weights).reshape(len(biases), len(vocabulary))
 
     def score(self, text: Column) -> Column:
         """0 to 1, a function of the text alone; NULL counts as the empty text."""
@@ -175,15 +185,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0))).first()
     if not toxic:
-        return Classifier([], 0.0)
+        return Classifier({}, [], [], 0.0)
     prior = min(max(toxic / n, 0.001), 0.5)
     chance = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     # A text of both kinds appears twice, once as a positive and once as an unlabelled one.
     as_positive = known.filter("toxic").filter(chance < positives / toxic).select("id", F.lit(True).alias("positive"))
     as_other = known.filter(chance < unlabelled / n).select("id", F.lit(False).alias("positive"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(as_positive.union(as_other), "id").select("positive", "text")
-    sample = stored(sample.mapInArrow(_texts_to_features, "positive boolean, features array<long>"), "features")
-    seeds = sample.select(F.explode(F.array(*map(F.lit, range(MODELS)))).alias("seed"), "positive", "features")
-    fit = seeds.groupBy("seed").applyInPandas(_train(prior, features), "seed int, bias double, names array<long>, weights array<double>")
-    return Classifier([r.asDict() for r in fit.collect()] if sample.filter("positive").count() else [], prior)
+    # Some 25,000 ids at most: the texts stay where they are.
+    sample = texts.join(F.broadcast(as_positive.union(as_other)), "id").select("positive", "text")
+    sample = stored(sample.mapInArrow(_texts_to_features, "positive boolean, features array<int>"), "features")
+    vocabulary = {f: i for i, f in enumerate(select_features(sample, features))}
+    if not vocabulary:
+        return Classifier({}, [], [], prior if sample.filter("positive").count() else 0.0)
+    small = sample.mapInArrow(_columns(vocabulary), "positive boolean, columns array<int>")
+    seeds = small.select(F.explode(F.array(*map(F.lit, range(MODELS)))).alias("seed"), "positive", "columns")
+    fit = seeds.groupBy("seed").applyInPandas(_train(prior, len(vocabulary)), "seed int, bias double, weights array<double>")
+    models = fit.orderBy("seed").collect()
+    return Classifier(vocabulary, [m.bias for m in models], [m.weights for m in models], prior)
