@@ -33,6 +33,8 @@ from tableset.llm.components import components
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Shingles whose values are computed at once.
 _BLOCK = 8192
+#: Shingles of sets that a worker keeps between pairs.
+SHINGLES_HELD = 500_000
 #: Members of a block.
 BLOCK = 512
 
@@ -114,13 +116,16 @@ def _signatures(width: int, bands: int, rows: int, seed: int):
 
 def _linked(width: int, percent: int):
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, sets = WordHashes(), {}
+        hashes, sets, held = WordHashes(), {}, 0
 
         def of(node, text):
+            nonlocal held
             if (node, text) not in sets:
-                if len(sets) > 500:
+                if held > SHINGLES_HELD:
                     sets.clear()
+                    held = 0
                 sets[node, text] = shingles(text, width, hashes)
+                held += len(sets[node, text])
             return sets[node, text]
 
         for frame in frames:
