@@ -201,5 +201,5 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     small = sample.mapInArrow(_columns(vocabulary), "positive boolean, columns array<int>")
     seeds = small.select(F.explode(F.array(*map(F.lit, range(MODELS)))).alias("seed"), "positive", "columns")
     fit = seeds.groupBy("seed").applyInPandas(_train(prior, len(vocabulary)), "seed int, bias double, weights array<double>")
-    models = fit.orderBy("seed").collect()
+    models = sorted(fit.collect(), key=lambda m: m.seed)
     return Classifier(vocabulary, [m.bias for m in models], [m.weights for m in models], prior)
