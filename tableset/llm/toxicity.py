@@ -29,7 +29,7 @@ from tableset.llm.common import stored
 POSITIVES, UNLABELLED, FEATURES, MODELS = 8192, 16_384, 4096, 3
 #: Lengths of the word beginnings that are features; a word is one as well.
 PREFIXES = (4, 5, 6)
-STEPS, RATE, DECAY = 300, 0.05, 1e-3
+STEPS, RATE, DECAY = 300, 0.05, 3e-4
 #: Least likelihood ratio of a feature of the vocabulary.
 RATIO = 12
 #: Words whose features a worker keeps.
