@@ -227,6 +227,56 @@ def test_licences_of_odd_tables(odd, empty, documents):
     assert [(s.start, s.end, s.license) for s in row.spans] == [(6, 36, "MIT"), (0, 36, "MIT")]
 
 
+MIT_GRANT = license_scan.GRANTS[0][1]
+WHOLE_TEXTS = dict(license_scan.TEMPLATES[-len(license_scan.WHOLE):])
+
+
+def licences_of(text):
+    return license_scan.Index(license_scan.TEMPLATES, 80).scan(text)
+
+
+def test_licences_of_grants_and_embedded_notices():
+    prose = " ".join(f"word{i}" for i in range(400))
+    notice = "Licensed under the Apache License, Version 2.0."
+    for text, name in ((MIT_GRANT, "MIT"), (license_scan.GRANTS[1][1], "ISC"), (f"Copyright 2021 Acme. {notice} See LICENSE.", "Apache-2.0")):
+        assert {s["license"] for s in licences_of(text)} == {name}
+        # Within a long line, wrapped, and in a comment.
+        for around in (f"{prose} {text} {prose}", prose + "\n" + text.replace(" ", "\n", 7).replace("\n", " ", 6) + " " + prose, f"{prose}\n// " + text.replace(", ", ",\n// ") + f" {prose}"):
+            assert {s["license"] for s in licences_of(around)} == {name}, around
+    text = f"İ{prose} {notice} {prose}"
+    (span,) = licences_of(text)
+    assert (text[span["start"] : span["end"]] + ".", span["dice"]) == (notice, 1.0)
+
+
+@pytest.mark.parametrize("name", license_scan.WHOLE)
+def test_licences_of_whole_texts(name):
+    prose = " ".join(f"word{i}" for i in range(50))
+    text = f"{prose} Copyright 2021 Acme {WHOLE_TEXTS[name]} {prose}"
+    longest = max(licences_of(text), key=lambda s: s["end"] - s["start"])
+    assert longest["license"] == name and longest["end"] - longest["start"] > 0.9 * len(WHOLE_TEXTS[name])
+
+
+def test_licence_windows_equal_brute_force():
+    templates = (("a", "one two three two three two four"), ("b", "five six seven eight nine"))
+    index, r = license_scan.Index(templates, 80), random.Random(6)
+    for _ in range(300):
+        words = [r.choice("one two three four five six seven eight nine x".split()) for _ in range(r.randint(0, 25))]
+        for _ in range(r.randint(0, 2)):
+            i = r.randint(0, len(words))
+            words[i:i] = r.choice(templates)[1].split()
+        for i, (_, t) in enumerate(templates):
+            own, best = license_scan.bigrams(t), {}
+            for a in range(len(words) - 1):
+                for b in range(a + 2, len(words) + 1):
+                    dice = 2 * (license_scan.bigrams(" ".join(words[a:b])) & own).total() / (b - a - 1 + own.total())
+                    if dice >= 0.8:
+                        best[a] = max(dice, best.get(a, 0))
+            got = {a: dice for a, _, _, dice in index.windows(index.numbers(words), i)}
+            # Windows that start before a bigram of the template are no better than those that start at it.
+            assert {a: round(d, 9) for a, d in best.items() if tuple(words[a : a + 2]) in own} == {a: round(d, 9) for a, d in got.items()}
+            assert bool(best) == bool(got)
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
