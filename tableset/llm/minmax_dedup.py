@@ -10,10 +10,12 @@ probability (1 - 0.8**5)**40, about 1e-7.
 Texts with equal shingle sets become one node first, so copies take no part in the pairing.
 A band's bucket is settled in two steps. First
 all its members are compared with one leader, so a bucket of n texts that are all alike
-takes n comparisons, not their square. Members that lie in different components afterwards
-are compared with each other in blocks of bounded size: two blocks of a bucket meet in one
-task, which counts all intersections at once and returns a spanning forest of the links it
-finds, never the pairs. So no link between candidates is lost.
+takes n comparisons, not their square. A bucket of more than a block whose members lie in
+different components afterwards gets further leaders, one a round, from outside its largest
+component. What is in different components still is compared in blocks of bounded size: two
+blocks of a bucket meet in one task, which counts all intersections at once and returns a
+spanning forest of the links it finds, never the pairs. Members of the bucket's largest
+component meet the others' blocks only, not one another's. So no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ _BLOCK = 8192
 SHINGLES_HELD = 500_000
 #: Members of a block.
 BLOCK = 512
+#: Further leaders of a bucket of more than a block.
+LEADERS = 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -197,6 +201,36 @@ def _block_links(width: int, percent: int):
     return links
 
 
+def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets with two labels or more, with ``label``, number of ``members``,
+    ``top`` (label of the most members) and their number ``tops``. Bands often gather the same
+    members: one bucket of them is enough."""
+    left = stored(left.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    digest = (F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")))
+    each = left.groupBy("key", "label").agg(F.count("*").alias("n"), *(d.alias(f"s{i}") for i, d in enumerate(digest)))
+    buckets = each.groupBy("key").agg(
+        F.sum("n").alias("members"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most"), *(F.sum(f"s{i}").alias(f"s{i}") for i in (0, 1))
+    )
+    buckets = buckets.filter("labels > 1").groupBy("members", "s0", "s1").agg(F.min(F.struct("key", "most")).alias("one"))
+    buckets = buckets.select("one.key", "members", F.col("one.most.label").alias("top"), F.col("one.most.n").alias("tops"))
+    return left.join(buckets, "key")
+
+
+def _blocks(left: DataFrame) -> DataFrame:
+    """Members in the pairs ``i``, ``j`` of blocks that meet. A bucket of one block has one pair.
+    In larger ones the members outside the largest component fill the first ``few`` blocks,
+    which meet all blocks; those of the largest component fill the others, which meet these only."""
+    few = F.when(F.col("members") <= BLOCK, 1).otherwise(F.ceil((F.col("members") - F.col("tops")) / BLOCK)).cast("int")
+    many = F.when(F.col("members") <= BLOCK, 0).otherwise(F.ceil(F.col("tops") / BLOCK)).cast("int")
+    in_many = (F.col("label") == F.col("top")) & (F.col("many") > 0)
+    hashed = F.xxhash64("node", F.lit(2))
+    block = F.when(in_many, F.col("few") + F.pmod(hashed, F.greatest("many", F.lit(1)))).otherwise(F.pmod(hashed, "few")).cast("int")
+    members = left.withColumn("few", few).withColumn("many", many).withColumn("block", block)
+    others = F.sequence(F.lit(0), F.when(in_many, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    members = members.withColumn("other", F.explode(others))
+    return members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, seed: int = 1
 ) -> DataFrame:
@@ -222,22 +256,29 @@ def near_duplicates(
 
     lead = rest.groupBy("key").agg(F.min("node").alias("lead"))
     pairs = rest.join(lead, "key").filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    with_texts = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
-    found = stored(with_texts.mapInPandas(_linked(width, percent), "a long, b long, linked boolean"), "pairs").filter("linked").select("a", "b")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        with_texts = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
+        return stored(with_texts.mapInPandas(_linked(width, percent), "a long, b long, linked boolean"), "pairs").filter("linked").select("a", "b")
+
+    found = compared(pairs)
     labels = components(found)
 
     # Leaders have met all other members. A bucket with two labels or more among the rest is open.
-    left = rest.join(lead, "key").filter("node > lead").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    left = stored(left, "left")
-    # Bands often gather the same members: one bucket of them is enough.
-    digest = (F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")))
-    buckets = left.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"), *(d.alias(f"s{i}") for i, d in enumerate(digest)))
-    buckets = buckets.filter("lo < hi").groupBy("members", "s0", "s1").agg(F.min("key").alias("key"))
-    buckets = buckets.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    members = left.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
-    members = members.join(texts.withColumnRenamed("id", "node"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    left = rest.join(lead, "key").filter("node > lead").select("key", "node")
+    for _ in range(LEADERS):
+        left = stored(_open(left, labels), "left")
+        large = left.filter(F.col("members") > BLOCK)
+        if large.isEmpty():
+            break
+        leads = large.filter("label <> top").groupBy("key").agg(F.min(F.struct("node", "label")).alias("lead"))
+        met = large.join(leads, "key").filter(F.col("label") != F.col("lead.label"))
+        found = found.union(compared(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()))
+        labels = components(found)
+        left = left.join(leads, "key", "left").filter("lead is null or node <> lead.node").select("key", "node")
+    else:
+        left = stored(_open(left, labels), "left")
+    members = _blocks(left).join(texts.withColumnRenamed("id", "node"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     more = stored(members.mapInPandas(_block_links(width, percent), "a long, b long").distinct(), "more-links")
     if not more.isEmpty():
         labels = components(found.union(more))

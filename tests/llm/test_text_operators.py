@@ -153,6 +153,23 @@ def test_near_duplicates(documents, monkeypatch, width, block):
     assert all(g.kept == (g.id == g.component_id) for g in got)
 
 
+def test_hot_buckets_emit_few_copies_of_their_texts(documents, spark, monkeypatch):
+    monkeypatch.setattr(minmax_dedup, "BLOCK", 4)
+    blocks, emitted = minmax_dedup._blocks, []
+    monkeypatch.setattr(minmax_dedup, "_blocks", lambda left: emitted.append(blocks(left).count()) or blocks(left))
+    base = [f"w{i}" for i in range(80)]
+    # Alike texts; the leader of their buckets, and one more, share words with them but are no near copies.
+    rows = [(0, " ".join(base[:40])), *((i, " ".join([*base, f"own{i}"])) for i in range(1, 60)), (60, " ".join(base[40:]))]
+    got = minmax_dedup.near_duplicates(documents([(i, t, "s") for i, t in rows]), width=1, bands=8, rows=1).collect()
+    assert {(g.id, g.n_shingles): g.component_id for g in got} == brute_components(rows, 1)
+    assert emitted == [0]
+    # 97 of one component and 3 others: one block of few meets the rest, which isn't paired with itself.
+    left = spark.createDataFrame([(1, i, i if i < 3 else 3, 100, 3, 97) for i in range(100)], "key long, node long, label long, members long, top long, tops long")
+    out = blocks(left).collect()
+    assert sum(r.node >= 3 for r in out) == 97 and sum(r.node < 3 for r in out) == 3 * 26
+    assert {r.i for r in out} == {0}
+
+
 def test_near_duplicates_of_odd_tables(odd, empty):
     got = minmax_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
