@@ -59,19 +59,21 @@ def search(rows: DataFrame, queries: Column, k: int, score_type: str, block_sear
     """The ``k`` best of ``rows`` (``id``, ``v``) for each of those for which ``queries`` holds.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``. Each row that is a query
-    is one, also if ids repeat. Vectors of another length than the longest query take no part.
+    is one, also if ids repeat. Vectors of each length are searched on their own.
     """
     spark = rows.sparkSession
     asked = rows.filter(queries)
-    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     kind = np.int64 if score_type == "long" else np.float64
     found = spark.createDataFrame([], f"chunk int, q int, query_id long, vec_id long, score {score_type}")
-    chunks = -(-n // CHUNK)
-    for chunk in range(chunks):
-        part = asked.filter(F.pmod(F.xxhash64("id", "v"), F.lit(chunks)) == chunk).toArrow()
-        names, values = matrix(part["id"], part["v"], width)
-        shared = spark.sparkContext.broadcast((names, values))
-        found = found.union(rows.mapInArrow(_task(shared, width, k, kind, block_search, chunk), found.schema))
+    first = 0
+    for width, n in sorted(asked.groupBy(F.size("v")).count().collect()):
+        chunks = -(-n // CHUNK)
+        for chunk in range(chunks):
+            part = asked.filter(F.size("v") == width).filter(F.pmod(F.xxhash64("id", "v"), F.lit(chunks)) == chunk).toArrow()
+            names, values = matrix(part["id"], part["v"], width)
+            shared = spark.sparkContext.broadcast((names, values))
+            found = found.union(rows.mapInArrow(_task(shared, width, k, kind, block_search, first + chunk), found.schema))
+        first += chunks
     order = Window.partitionBy("chunk", "q").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

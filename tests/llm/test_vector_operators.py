@@ -111,3 +111,13 @@ def test_lists_bound_every_score():
     for depth in (1, 50, 150, 200):
         worst, frontier = lists.bounds(depth)
         assert np.all(worst @ signed <= exact) and np.all(exact <= frontier @ signed)
+
+
+def test_vectors_of_each_length_are_searched(table):
+    rows = [*random_vectors(120, 6, 3), *((200 + i, v) for i, v in random_vectors(120, 9, 4)), (1000, [1.0] * 12)]
+    for length in (6, 9):
+        same = [(i, v) for i, v in rows if len(v) == length]
+        want = {q: sorted((-whole(v, w), i) for i, w in same if i != q)[:10] for q, v in same if q % 100 == 0}
+        got = found(top_k.top_k(table(rows)))
+        assert {q: x for q, x in got.items() if q in want} == {q: [(i, -s) for s, i in x] for q, x in want.items()}
+    assert {q for q in found(ann.nearest(table(rows)))} == {i for i, _ in rows if i % 20 == 0 and i != 1000}
