@@ -105,7 +105,10 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
     spark = docs.sparkSession
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     lines = stored(thin.mapInArrow(_lines(min_chars), _LINES), "lines")
-    keys = lines.groupBy("key", "mark").agg(F.sum("first").alias("docs"), F.count("*").alias("rows"), F.max("id").alias("keeper"))
+    # Rows of one id are one document; each row without id is one.
+    held = lines.groupBy("key", "mark", "id").agg(F.sum("first").alias("texts"), F.count("*").alias("rows"))
+    docs_of = F.sum(F.when(F.col("id").isNull(), F.col("texts")).otherwise(1))
+    keys = held.groupBy("key", "mark").agg(docs_of.alias("docs"), F.sum("rows").alias("rows"), F.max("id").alias("keeper"))
     keys = stored(keys.filter(F.col("docs") >= min_docs), "line-keys")
     n = lines.count()
     shards = max(1, n // SHARD_LINES)
@@ -153,9 +156,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all its columns, whatever their names), ``n_lines``, ``n_dropped``, ``kept`` (text).
 
     NULL and empty texts have one empty line and stay as they are. Rows with one id are one
-    document for the rule "largest id", but each row counts towards ``min_docs``. Documents
-    without id count, and are never the largest beside one with an id; lines found only in
-    documents without id stay in all of them.
+    document. Documents without id count, a row each, and are never the largest beside one with
+    an id; lines found only in documents without id stay in all of them.
     """
     gone = dropped_lines(docs, id_col, text_col, min_chars, min_docs)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))

@@ -94,6 +94,13 @@ def test_shared_lines(documents, monkeypatch, limits):
     assert Counter((g.doc_id, g.n_lines, g.n_dropped, g.kept or "") for g in got) == brute_lines(rows)
 
 
+def test_rows_of_one_id_are_one_document(documents):
+    line = "A shared line of some length"
+    for ids, dropped in (([5, 5, 9], [0, 0, 0]), ([5, 5, 7, 9], [1, 1, 1, 0])):
+        got = line_dedup.dedup_lines(documents([(i, f"{line}\nrow {n}", "s") for n, i in enumerate(ids)])).orderBy("row.doc_id").collect()
+        assert [g.n_dropped for g in got] == dropped
+
+
 def test_shared_lines_of_odd_tables(odd, empty):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == odd.count()
