@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableset.llm import ann, bpe, license_scan, line_dedup, minmax_dedup, mixing, packing, secret_scan, top_k, toxicity
+from tableset.llm import ann, bpe, filter_audit, license_scan, line_dedup, minmax_dedup, mixing, packing, quality_rules, secret_scan, top_k, toxicity
 from tableset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +157,73 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.array_max(F.transform("spans", lambda x: x["dice"]))
     names = F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("spans", lambda x: x["license"]))))
     return found.select(F.col("id").alias("doc_id"), F.size("spans").cast("long").alias("n_spans"), names.alias("licenses"), best.alias("best_dice"), spans.alias("spans"))
+
+
+@query(r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+windows AS (SELECT r, i, w[i:i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT r, unnest([i, i + 1, i + 2]) AS pos FROM windows QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+repeated AS (SELECT r, count(DISTINCT pos) AS n FROM again GROUP BY r),
+held AS (SELECT r, line, count(*) - 1 AS n FROM (SELECT r, unnest(lines) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
+doubled AS (SELECT r, CAST(sum(n) AS BIGINT) AS n FROM held GROUP BY r),
+m AS (
+    SELECT d.r, doc_id, len(w) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+           length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
+           coalesce(doubled.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN repeated ON d.r = repeated.r LEFT JOIN doubled ON d.r = doubled.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_upper > 50 * word_chars
+            OR 100 * word_chars < 250 * n_words OR 100 * word_chars > 1200 * n_words) AS kept
+FROM b
+""")
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdicts of all documents, from the ledger of rule bits."""
+    entries, failed = quality_rules.ledger(table(spark, sf_dir, "documents")), F.col("failed")
+    return entries.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality_rules.rejects(failed, quality_rules.BASE).alias("base_failed"),
+        (~quality_rules.rejects(failed, quality_rules.POLICY)).alias("kept"),
+    )
+
+
+@query(r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+           + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT
+           + 8 * (regexp_matches(text, '[#$%&*|]'))::INT
+           + 16 * coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)::INT AS mask
+    FROM t LEFT JOIN marks ON t.doc_id = marks.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+orders AS (
+    SELECT '' AS prefix, 0 AS applied
+    UNION ALL SELECT prefix || letter, applied | bit FROM orders, f WHERE applied & bit = 0),
+steps AS (
+    SELECT o.prefix AS filter_order, s.step::INT AS step, f.letter, f.bit,
+           coalesce((SELECT applied FROM orders p WHERE p.prefix = left(o.prefix, s.step - 1)), 0) AS applied
+    FROM orders o, range(1, 6) s(step), f WHERE length(o.prefix) = 5 AND f.letter = o.prefix[s.step]),
+each AS (
+    SELECT part, filter_order, step, letter, CAST(sum(n) FILTER (mask & (applied | bit) = 0) AS BIGINT) AS kept,
+           CAST(sum(n) FILTER (mask & applied = 0 AND mask & bit <> 0) AS BIGINT) AS removed,
+           CAST(sum(n) FILTER (mask & applied <> 0 AND mask & bit <> 0) AS BIGINT) AS redundant,
+           CAST(sum(n) FILTER (mask = bit) AS BIGINT) AS unique_fails,
+           CAST(sum(good) FILTER (mask & applied = 0 AND mask & bit <> 0) AS BIGINT) AS good_lost,
+           CAST(sum(toxic) FILTER (mask & applied = 0 AND mask & bit <> 0) AS BIGINT) AS toxic_lost
+    FROM steps, cells GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant,
+       coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley
+FROM each
+""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all orders of the five filters, for each source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
