@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableset.llm import ann, bpe, filter_audit, license_scan, line_dedup, minmax_dedup, mixing, packing, quality_rules, secret_scan, top_k, toxicity
+from tableset.llm import ann, bpe, filter_audit, license_scan, line_dedup, minmax_dedup, mixing, packing, prefix_trie, quality_rules, secret_scan, top_k, toxicity
 from tableset.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,3 +227,39 @@ FROM each
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of all orders of the five filters, for each source."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(r"""
+WITH t AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+    SELECT c, n, c - c % 5 AS base, xor(4294967295, list_reduce(
+        list_concat([4294967295::BIGINT], [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]), lambda a, x: list_reduce(
+            list_concat([xor(a, x)], range(8)), lambda b, i: xor(b >> 1, 3988292384 * (b & 1))))) % 9 AS h
+    FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+shifts AS (SELECT convs.c, convs.base, convs.h, least(convs.h, coalesce(b.n, 0)) - convs.h AS shift FROM convs LEFT JOIN convs b ON b.c = convs.base),
+r AS (
+    SELECT s.c, t.pos AS p, t.role, t.text FROM shifts s JOIN t ON t.c = s.base AND t.pos <= s.h
+    UNION ALL SELECT s.c, t.pos + s.shift, t.role, t.text FROM shifts s JOIN t ON t.c = s.c AND t.pos > s.h),
+prefixes AS (
+    SELECT c, p AS d, strlen(text) AS bytes,
+           sha256(string_agg(sha256(length(role) || ':' || role || text), '/') OVER (PARTITION BY c ORDER BY p)) AS node FROM r),
+mem AS (
+    SELECT c, d, bytes, node, coalesce(lag(node) OVER (PARTITION BY c ORDER BY d), '') AS parent FROM prefixes
+    UNION ALL SELECT c, 0, 0, '', NULL FROM convs),
+ends AS (SELECT node, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha FROM (SELECT c, arg_max(node, d) AS node FROM mem GROUP BY c) GROUP BY node),
+nodes AS (SELECT node, any_value(parent) AS parent, any_value(d) AS depth, any_value(bytes) AS bytes, min(c) AS conv_id, count(*) AS n_convs FROM mem GROUP BY node),
+full_nodes AS (SELECT nodes.*, (SELECT count(*) FROM nodes k WHERE k.parent = nodes.node) AS n_children FROM nodes),
+below AS (SELECT DISTINCT a.node AS top, b.node AS node FROM mem a JOIN mem b ON a.c = b.c AND b.d >= a.d),
+sums AS (
+    SELECT top, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens
+    FROM below JOIN full_nodes f ON f.node = below.node GROUP BY top)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM full_nodes f JOIN sums ON sums.top = f.node LEFT JOIN nodes p ON p.node = f.parent LEFT JOIN ends ON ends.node = f.node
+""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all conversations, rebuilt with the first turns of their groups."""
+    convs, turns = prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(convs, turns)
