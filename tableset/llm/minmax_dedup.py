@@ -10,7 +10,8 @@ probability (1 - 0.8**5)**40, about 1e-7.
 Texts with equal shingle sets become one node first, so copies take no part in the pairing.
 A band's bucket is settled in two steps. First
 all its members are compared with one leader, so a bucket of n texts that are all alike
-takes n comparisons, not their square. A bucket of more than a block whose members lie in
+takes n comparisons, not their square; a text in many buckets meets the smallest of their
+leaders first, and the others only if they are in another component by then. A bucket of more than a block whose members lie in
 different components afterwards gets further leaders, one a round, from outside its largest
 component. What is in different components still is compared in blocks of bounded size: two
 blocks of a bucket meet in one task, which counts all intersections at once and returns a
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tableset.llm.common import WordHashes, stored, words_of
 from tableset.llm.components import components
+from tableset.operators.spread import lookup
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Shingles whose values are computed at once.
@@ -255,17 +257,26 @@ def near_duplicates(
     text_a, text_b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     lead = rest.groupBy("key").agg(F.min("node").alias("lead"))
-    pairs = rest.join(lead, "key").filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    led = stored(lookup(rest, lead, ["key"], "node", how="inner").filter("node > lead"), "led")
 
     def compared(pairs: DataFrame) -> DataFrame:
         with_texts = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
         return stored(with_texts.mapInPandas(_linked(width, percent), "a long, b long, linked boolean"), "pairs").filter("linked").select("a", "b")
 
-    found = compared(pairs)
+    # Every node meets the smallest of its leaders first. Alike members are in one component
+    # then, and of the other leaders only those of other components are left to compare.
+    found = compared(led.groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"))
     labels = components(found)
+    own, other = labels.select("node", "label"), labels.select(F.col("node").alias("lead"), F.col("label").alias("of_lead"))
+    apart = led.select("lead", "node").distinct().join(own, "node", "left")
+    apart = lookup(apart, other, ["lead"], "node").filter(F.coalesce("label", "node") != F.coalesce("of_lead", "lead"))
+    more = compared(apart.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    if not more.isEmpty():
+        found = found.union(more)
+        labels = components(found)
 
     # Leaders have met all other members. A bucket with two labels or more among the rest is open.
-    left = rest.join(lead, "key").filter("node > lead").select("key", "node")
+    left = led.select("key", "node")
     for _ in range(LEADERS):
         left = stored(_open(left, labels), "left")
         large = left.filter(F.col("members") > BLOCK)
