@@ -34,6 +34,11 @@ CHANGE_SET = struct(
     max_docs=INT, pipeline=STRING, definition=STRING, meta=STRING,
 )
 VERSION = struct(version_name=STRING, definition=STRING, layout=STRING, folder=STRING)
+# Versions and the members of aliases as rows of one table; a version has no alias.
+CATALOG = struct(alias=STRING, version_name=STRING, definition=STRING, layout=STRING, folder=STRING)
+# Where documents are that a write moved out of the folder their version was created in: a
+# bucket's folder, or in bucket -1 the folder and number of buckets that all went to.
+PART = struct(base=STRING, bucket=INT, folder=STRING, buckets=INT)
 FAILURE = struct(cause_type=STRING, cause_reason=STRING)
 REPORT = struct(
     total=LONG, created=LONG, updated=LONG, rejected=LONG, dropped=LONG, done=LONG,

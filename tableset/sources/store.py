@@ -3,21 +3,31 @@
 Everything is Parquet below one root folder:
 
 ``changelog/``                        append-only log rows, by type and environment
-``pipelines/ versions/ membership/``  small tables, one complete snapshot per change
-``data/layout=<id>/folder=<f>/``      documents of one version, split by ``outcome``
-
-A data folder is written once and never changed; the versions table says which folder a
-version name stands for. A snapshot is written next to the former ones and counts from
-the moment its job is committed, so readers see the old or the new table and nothing
-between. A writer claims the number after the snapshot it has read by creating a file of
-that name, which only one can; any other that started from the same snapshot fails. Versions with the same declared columns share a layout, so that one job can
-read or write many of them.
+``pipelines/ catalog/ parts/``        small tables, one complete snapshot per change
+``data/layout=<id>/folder=<f>/``      documents, split by ``bucket`` and ``outcome``
+
+The catalog holds the versions and the members of aliases, so that both change in one
+write. A data folder is written once and never changed; a version names the folder it was
+created in. Documents are in buckets by a hash of their id, and a write of documents puts
+only the buckets it touches into a new folder, which the table of parts points to. A
+version starts with one bucket unless more are asked for.
+
+A snapshot is written next to the former ones and counts from the moment its job is
+committed, so readers see the old or the new table and nothing between. A writer claims the
+number after the snapshot it has read by creating a file of that name, which only one can;
+any other that started from the same snapshot fails. That needs a file system where
+creating a file that exists fails, as on HDFS and local disks; not all object stores do
+that. Versions with the same declared columns share a layout, so that one job can read or
+write many of them.
 """
 
 from __future__ import annotations
 
 import re
+import time
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,17 +38,20 @@ from tableset.operators.aliases import swap, unreferenced
 from tableset.operators.spread import lookup
 from tableset.operators.upsert import delete_keys, upsert
 from tableset.schemas import (
+    CATALOG,
     CHANGELOG,
     FAILURE,
+    INT,
     LONG,
     MEMBERSHIP,
+    PART,
     PIPELINE,
     STRING,
     VERSION,
     declared_schema,
     struct,
 )
-from tableset.session import setting
+from tableset.session import durable, setting
 
 LOG_FOLDERS = ("resource_type", "env_name")
 
@@ -46,6 +59,16 @@ LOG_FOLDERS = ("resource_type", "env_name")
 # sorting the documents by folder first.
 OPEN_WRITERS = 64
 
+# Up to so many folders are named to the reader; of more all folders are listed and the
+# right ones found at run time.
+NAMED_FOLDERS = 100
+
+# A version of more documents gets buckets of about so many at its next write, at most so many.
+BUCKET_ROWS, MAX_BUCKETS = 250_000, 4096
+
+# Commits of parts that another writer came before are tried so often, so many seconds apart.
+COMMIT_TRIES, COMMIT_WAIT = 20, 0.25
+
 _SNAPSHOT = re.compile(r"snapshot=(\d+)$")
 
 
@@ -105,12 +128,29 @@ class Snapshots:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+@dataclass(frozen=True)
+class State:
+    """The small tables as one run reads them, with the numbers that its writes start from."""
+
+    catalog_number: int
+    versions: DataFrame
+    membership: DataFrame
+    pipelines_number: int
+    pipelines: DataFrame
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._pipelines = Snapshots(spark, f"{self.root}/pipelines", PIPELINE)
-        self._versions = Snapshots(spark, f"{self.root}/versions", VERSION)
-        self._membership = Snapshots(spark, f"{self.root}/membership", MEMBERSHIP)
+        self._catalog = Snapshots(spark, f"{self.root}/catalog", CATALOG)
+        self._parts = Snapshots(spark, f"{self.root}/parts", PART)
+
+    def state(self) -> State:
+        """Versions, members and pipelines of this moment."""
+        number, catalog = self._catalog.current()
+        pipelines_number, pipelines = self._pipelines.current()
+        return State(number, versions_of(catalog), members_of(catalog), pipelines_number, pipelines)
 
     # changelog
 
@@ -133,9 +173,10 @@ class Store:
     def pipelines(self) -> DataFrame:
         return self._pipelines.read()
 
-    def put_pipelines(self, definitions: DataFrame) -> None:
-        base, rows = self._pipelines.current()
-        self._pipelines.write(upsert(rows, definitions, keys=("name",)), base)
+    def put_pipelines(self, definitions: DataFrame, base: int | None = None) -> None:
+        """Add or replace pipelines; with ``base`` only if the registry is still that snapshot."""
+        number, rows = self._pipelines.current()
+        self._pipelines.write(upsert(rows, definitions, keys=("name",)), number if base is None else base)
 
     def delete_pipelines(self, names: DataFrame) -> None:
         base, rows = self._pipelines.current()
@@ -144,12 +185,23 @@ class Store:
     # alias membership
 
     def membership(self) -> DataFrame:
-        return self._membership.read()
+        return members_of(self._catalog.read())
 
     def swap(self, removes: DataFrame, adds: DataFrame) -> None:
         """Remove and add members of any number of aliases in one write."""
-        base, rows = self._membership.current()
-        self._membership.write(swap(rows, removes, adds), base)
+        self.publish(None, removes, adds)
+
+    def publish(self, created: DataFrame | None, removes: DataFrame, adds: DataFrame, base: int | None = None) -> None:
+        """Add versions, or point known ones at other folders, and change members of aliases, in one write.
+
+        With ``base`` only if the catalog is still that snapshot: a plan made from an older one fails.
+        """
+        number, catalog = self._catalog.current()
+        versions, members = versions_of(catalog), swap(members_of(catalog), removes, adds)
+        if created is not None:
+            versions = upsert(versions, created, keys=("version_name",))
+        rows = versions.unionByName(members, allowMissingColumns=True)
+        self._catalog.write(rows, number if base is None else base)
 
     def publish_view(self, alias: str, schema: T.StructType) -> None:
         """Point the reader view of an alias at its present members.
@@ -161,7 +213,7 @@ class Store:
     # table versions
 
     def versions(self) -> DataFrame:
-        return self._versions.read()
+        return versions_of(self._catalog.read())
 
     def check_new(self, names: DataFrame) -> None:
         """Creating a version under an existing name is an error."""
@@ -171,43 +223,70 @@ class Store:
 
     def register(self, rows: DataFrame) -> None:
         """Add versions, or point known ones at other folders, in one write."""
-        base, known = self._versions.current()
-        self._versions.write(upsert(known, rows, keys=("version_name",)), base)
+        none = self.spark.createDataFrame([], MEMBERSHIP)
+        self.publish(rows, none, none)
 
-    def create_version(self, name: str, definition: str, documents: DataFrame | None = None) -> None:
-        """A new version with the declared columns, from good ``documents`` or empty."""
+    def create_version(self, name: str, definition: str, documents: DataFrame | None = None, buckets: int = 1) -> None:
+        """A new version with the declared columns, from good ``documents`` or empty, in ``buckets`` by a hash of the id."""
         row = self.spark.createDataFrame([(name, definition, layout_id(definition), new_folder(name))], VERSION)
         self.check_new(row)
+        folder = row.first()["folder"]
         if documents is not None:
-            folder = row.first()["folder"]
-            self.write_folders(documents.withColumn("folder", F.lit(folder)), definition)
+            placed = documents.withColumn("folder", F.lit(folder)).withColumn("_bucket", bucket_of(F.lit(buckets)))
+            self.write_folders(placed if buckets == 1 else placed.hint("rebalance", "_bucket"), definition)
+        if buckets > 1:
+            self.commit_parts(self.pointers(row), [(folder, -1, folder, buckets)])
         self.register(row)
 
     def data_path(self, layout: str) -> str:
         return f"{self.root}/data/layout={layout}"
 
     def write_folders(self, df: DataFrame, definition: str) -> None:
-        """Write documents of one layout; ``folder`` and ``outcome`` become folders.
+        """Write documents of one layout; ``folder``, ``_bucket`` (0 unless given) and ``outcome`` become folders.
 
         Folders are new for every run, so the leftovers of a broken run are never read.
         """
         schema = stored_schema(declared_schema(definition))
         for field in schema.fields:
             if field.name not in df.columns:
-                default = {"_seq_no": F.lit(0), "outcome": F.lit("created")}.get(field.name, F.lit(None))
+                default = {"_seq_no": F.lit(0), "_bucket": F.lit(0), "outcome": F.lit("created")}.get(field.name, F.lit(None))
                 df = df.withColumn(field.name, default)
         columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
         with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_WRITERS)):
-            df.select(*columns).write.mode("append").partitionBy("folder", "outcome").parquet(
+            df.select(*columns).write.mode("append").partitionBy("folder", "_bucket", "outcome").parquet(
                 self.data_path(layout_id(definition))
             )
 
-    def read_layout(self, layout: str, schema: T.StructType) -> DataFrame:
-        """All stored rows of a layout, in the given columns, with ``folder`` and ``outcome``."""
-        stored = stored_schema(schema)
-        if not self._exists(self.data_path(layout)):
+    def read_layout(self, layout: str, schema: T.StructType, folders: list[str] | None = None) -> DataFrame:
+        """Stored rows of a layout, in the given columns, with ``folder``, ``_bucket`` and ``outcome``.
+
+        With ``folders`` only these are listed, whatever else was ever written in the layout.
+        """
+        stored, path = stored_schema(schema), self.data_path(layout)
+        paths = [path] if folders is None else [f"{path}/folder={f}" for f in folders]
+        there = [p for p in paths if self._exists(p)]
+        if not there:
             return self.spark.createDataFrame([], stored)
-        return self.spark.read.schema(stored).parquet(self.data_path(layout))
+        return self.spark.read.schema(stored).option("basePath", path).parquet(*there)
+
+    def counts(self, layout: str, folders: DataFrame) -> DataFrame:
+        """Stored rows of each ``folder`` and ``outcome``, from the footers of its files."""
+        rows = self._rows_in(layout, struct(), folders.select("folder").distinct())
+        return rows.groupBy("folder", "outcome").agg(F.count(F.lit(1)).alias("rows"))
+
+    def _rows_in(self, layout: str, schema: T.StructType, at: DataFrame) -> DataFrame:
+        """Stored rows of the folders, or folders and buckets, of ``at``, with its further columns.
+
+        Of few folders the names, and the buckets of each, are constants of the scan.
+        """
+        on = [c for c in ("folder", "_bucket") if c in at.columns]
+        few = at.groupBy("folder").agg(F.collect_set("_bucket" if "_bucket" in on else F.lit(0)).alias("buckets")).limit(NAMED_FOLDERS + 1).collect()
+        if len(few) > NAMED_FOLDERS:
+            return lookup(self.read_layout(layout, schema), at, on, "_id", how="inner")
+        rows = self.read_layout(layout, schema, [r["folder"] for r in few])
+        if "_bucket" in on and few:
+            rows = rows.filter(reduce(Column.__or__, ((F.col("folder") == r["folder"]) & F.col("_bucket").isin(*r["buckets"]) for r in few)))
+        return rows if len(on) == len(at.columns) else lookup(rows, at, on, "_id", how="inner")
 
     def documents(self, versions: DataFrame, schema: T.StructType | None = None) -> DataFrame:
         """Accepted documents of the given versions, with ``version_name``.
@@ -222,10 +301,11 @@ class Store:
         declared = {row["layout"]: declared_schema(row["definition"]) for row in layouts.collect()}
         wanted = schema if schema is not None else united(list(declared.values()))
         result = None
+        at = self.pointers(versions)
         for layout, columns in declared.items():
-            folders = versions.filter(F.col("layout") == layout).select("folder", "version_name")
+            folders = at.filter(F.col("layout") == layout).select("folder", F.col("bucket").alias("_bucket"), "version_name")
             rows = self.read_layout(layout, columns).filter(F.col("outcome") == "created")
-            part = lookup(rows, folders, ["folder"], "_id", how="inner").select(
+            part = lookup(rows, folders, ["folder", "_bucket"], "_id", how="inner").select(
                 "_id", "_seq_no", *[column_or_null(f, columns) for f in wanted.fields], "_rest", "version_name"
             )
             result = part if result is None else result.unionByName(part)
@@ -248,12 +328,72 @@ class Store:
 
     def drop_version(self, name: str) -> None:
         """Delete a version that no alias points at. The only call that deletes data."""
-        base, known = self._versions.current()
-        row = unreferenced(known, self.membership()).filter(F.col("version_name") == name).first()
+        base, catalog = self._catalog.current()
+        known = versions_of(catalog)
+        mine = unreferenced(known, members_of(catalog)).filter(F.col("version_name") == name)
+        row = mine.first()
         if row is None:
             raise ValueError(f"version {name!r} is unknown or in use")
-        self._versions.write(known.filter(F.col("version_name") != name), base)
-        self._delete(f"{self.data_path(row['layout'])}/folder={row['folder']}")
+        folders = {row["folder"], *(r["folder"] for r in self.pointers(mine).select("folder").distinct().collect())}
+        self._catalog.write(catalog.filter(F.col("alias").isNotNull() | (F.col("version_name") != name)), base)
+        for folder in sorted(folders):
+            self._delete(f"{self.data_path(row['layout'])}/folder={folder}")
+
+    # buckets
+
+    def pointers(self, versions: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+        """Where the documents of versions are: a row for each bucket.
+
+        ``version_name``, ``definition``, ``layout``, ``root`` (the version's folder), ``base`` (the folder
+        that all its buckets were written to last), ``buckets`` (their number), ``bucket`` and ``folder``.
+        """
+        if parts is None:
+            parts = self._parts.read()
+        moved = parts.filter("bucket = -1").select(F.col("base").alias("root"), F.col("folder").alias("_moved"), "buckets")
+        own = parts.filter("bucket >= 0").select("base", "bucket", F.col("folder").alias("_own"))
+        at = versions.withColumnRenamed("folder", "root").join(moved, "root", "left")
+        at = at.withColumns({"base": F.coalesce("_moved", "root"), "buckets": F.coalesce("buckets", F.lit(1))})
+        at = at.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).join(own, ["base", "bucket"], "left")
+        return at.select("version_name", "definition", "layout", "root", "base", "buckets", "bucket", F.coalesce("_own", "base").alias("folder"))
+
+    def parts(self) -> DataFrame:
+        return self._parts.read()
+
+    def bucket_rows(self, layout: str, schema: T.StructType, touched: DataFrame) -> DataFrame:
+        """Accepted documents of some buckets (rows of ``pointers``), with ``version_name`` and ``_bucket``."""
+        rows = self._rows_in(layout, schema, touched.select("folder", F.col("bucket").alias("_bucket"), "version_name")).filter(F.col("outcome") == "created")
+        return rows.select("version_name", "_bucket", "_id", "_seq_no", *[F.col(f"`{f.name}`") for f in schema.fields], "_rest")
+
+    def commit_parts(self, planned: DataFrame, rows: list[tuple] | DataFrame, whole: bool = False) -> DataFrame:
+        """Point buckets at the folders of ``rows`` (PART), compared with the state they were written from.
+
+        ``planned`` holds the ``pointers`` of these buckets when they were read. Returns those that
+        another writer has moved since; their rows don't count, all others do, in one write. With
+        ``whole`` none counts then. Writers of other buckets don't disturb: the write is
+        tried again on what they left.
+        """
+        rows = self.spark.createDataFrame(rows, PART) if isinstance(rows, list) else rows
+        for _ in range(COMMIT_TRIES):
+            number, parts = self._parts.current()
+            versions = planned.select("version_name", "definition", "layout", F.col("root").alias("folder")).distinct()
+            now = self.pointers(versions, parts).select("version_name", "bucket", F.col("base").alias("_base"), F.col("folder").alias("_folder"))
+            lost = planned.join(now, ["version_name", "bucket"], "left")
+            lost = durable(lost.filter(~(F.col("base").eqNullSafe(F.col("_base")) & F.col("folder").eqNullSafe(F.col("_folder")))).drop("_base", "_folder"))
+            if not lost.isEmpty():
+                if whole:
+                    return lost
+                rows = rows.join(lost.select("base", "bucket"), ["base", "bucket"], "left_anti")
+                if rows.isEmpty():
+                    return lost
+            # A version whose buckets are all written anew has a new base, so its former parts are of no use.
+            dead = rows.filter("bucket = -1").join(planned.select("root", F.col("base").alias("_old")).distinct(), F.col("base") == F.col("root")).select(F.col("_old").alias("base"))
+            kept = parts.join(dead.withColumn("_dead", F.lit(True)), "base", "left").filter(F.col("_dead").isNull() | (F.col("bucket") == -1)).drop("_dead")
+            try:
+                self._parts.write(upsert(kept, rows, keys=("base", "bucket")), number)
+                return lost
+            except SnapshotConflict:
+                time.sleep(COMMIT_WAIT)
+        raise SnapshotConflict(f"{self._parts.path} is claimed by another writer; after a broken run call release()")
 
     def _fs(self, path: str):
         hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -278,10 +418,23 @@ def log_rows(rows: DataFrame) -> DataFrame:
 def stored_schema(schema: T.StructType) -> T.StructType:
     """Columns of a stored version: id, sequence number, declared columns, undeclared fields, failure, folders."""
     head = struct(_id=STRING, _seq_no=LONG)
-    tail = struct(_rest=STRING, _failure=FAILURE, folder=STRING, outcome=STRING)
+    tail = struct(_rest=STRING, _failure=FAILURE, folder=STRING, _bucket=INT, outcome=STRING)
     return T.StructType([*head.fields, *schema.fields, *tail.fields])
 
 
+def versions_of(catalog: DataFrame) -> DataFrame:
+    return catalog.filter(F.col("alias").isNull()).select(*VERSION.names)
+
+
+def members_of(catalog: DataFrame) -> DataFrame:
+    return catalog.filter(F.col("alias").isNotNull()).select(*MEMBERSHIP.names)
+
+
+def bucket_of(buckets: Column) -> Column:
+    """Bucket of a document, by its ``_id``."""
+    return F.pmod(F.xxhash64("_id"), buckets).cast("int")
+
+
 def united(schemas: list[T.StructType]) -> T.StructType:
     """Columns of several schemas by name, in order of appearance; differing types become text."""
     fields: dict[str, T.DataType] = {}
