@@ -9,6 +9,12 @@ from tableset.functions.meta import document_meta_json, index_set_meta_json
 from tableset.functions.names import document_identifier
 from tableset.operators.lookup import require_keys
 from tableset.plans.desired import Desired
+from tableset.session import durable
+from tableset.sources.store import Store
+
+
+class MissingKeys(Exception):
+    """A key to import is not among the desired state; nothing was logged."""
 
 
 def baseline(desired: Desired, keys: DataFrame, legacy: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -34,3 +40,21 @@ def baseline(desired: Desired, keys: DataFrame, legacy: bool = False) -> tuple[D
     )
     found, missing = require_keys(keys, sets.unionByName(documents), ["resource_type", "resource_identifier"])
     return found.withColumn("env_name", F.lit(desired.env)), missing
+
+
+def import_baseline(store: Store, desired: Desired, keys: DataFrame, legacy: bool = False) -> DataFrame:
+    """Log present definitions as applied, all keys or none; returns the log rows.
+
+    Everything is logged by one append. A desired state with errors, or a key without a
+    definition, stops the import before it.
+    """
+    problem = desired.errors.orderBy("kind", "key", "reason").first()
+    if problem is not None:
+        raise MissingKeys(f"{problem['kind']} {problem['key']}: {problem['reason']}")
+    rows, missing = baseline(desired, durable(keys), legacy)
+    lost = missing.orderBy("resource_type", "resource_identifier").first()
+    if lost is not None:
+        raise MissingKeys(f"no such {lost['resource_type']} {lost['resource_identifier']!r}")
+    rows = durable(rows)
+    store.append_log(rows)
+    return rows

@@ -10,6 +10,7 @@ from tableset.functions.json import valid_object
 from tableset.operators.transforms import REST, failure, fit_to_schema, rest_of
 from tableset.operators.upsert import upsert
 from tableset.plans.change_set import document_actions, document_changes, split_errors
+from tableset.session import durable
 
 
 def sync_documents(desired: DataFrame, log: DataFrame, table: DataFrame, env: str) -> tuple[DataFrame, DataFrame]:
@@ -17,9 +18,9 @@ def sync_documents(desired: DataFrame, log: DataFrame, table: DataFrame, env: st
 
     ``table`` holds ``alias``, ``_id`` and ``_source``. Changed documents that are not
     ignored are written by name; every changed document is logged. One write each, however
-    many documents there are.
+    many documents there are. What changed is found once, and kept for both.
     """
-    actions, _ = split_errors(document_actions(document_changes(desired, log, env), env))
+    actions, _ = split_errors(durable(document_actions(document_changes(desired, log, env), env)))
     return upsert(table, document_writes(actions), keys=("alias", "_id")), log_entries(actions, env)
 
 
