@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ _TOKENS = r'(?s)"(?:[^"\\]++|\\.)*+"|[-+0-9.][-+0-9.eE]*+|[^"\-+0-9.]++|.'
 _NUMBER = r"^(-?)(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$"
 # Numbers whose spelling the parser would keep: with an exponent, or longer than a long.
 _SPELLED = r"[0-9][eE]|[0-9.]{19}"
+# Stands after a value to show where it ends, as a string and as written in JSON.
+_MARK, _MARK_TEXT = "\x00end of value\x00", r"\u0000end of value\u0000"
 
 
 def _col(c: Column | str) -> Column:
@@ -39,25 +43,46 @@ def _plain_number(token: Column) -> Column:
 
 def _one_spelling(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
-    return F.when(text.rlike(_SPELLED), F.array_join(F.transform(tokens, _plain_number), "")).otherwise(text)
+    return F.array_join(F.transform(tokens, _plain_number), "")
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _form(text: Column, finish: Callable[[Column], Column]) -> Column:
+    """What ``finish`` makes of the rendered value; NULL when ``text`` is not exactly one valid JSON value.
+
+    The variant parser accepts trailing text, so the value is parsed inside an array, with
+    a mark after it: only a text that is one value leaves the mark in the second place.
+    """
+    array = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK_TEXT}"]')))
+
+    def single(parsed: Column) -> Column:
+        value = F.to_json(F.try_variant_get(parsed, "$[0]", "variant"))
+        return F.when(F.try_variant_get(parsed, "$[1]", "string") == _MARK, _bound(value, finish))
+
+    return _bound(array, single)
+
+
+def _finished(text: Column | str, finish: Callable[[Column], Column]) -> Column:
+    def each(c: Column) -> Column:
+        # Only numbers written with an exponent come out as doubles.
+        spelled = _bound(_one_spelling(c), lambda one: _form(one, lambda form: finish(
+            F.when(one.rlike("[0-9][eE]"), F.regexp_replace(form, _WHOLE_DOUBLE, "$1$2")).otherwise(form)
+        )))
+        return F.when(c.rlike(_SPELLED), spelled).otherwise(_form(c, finish))
+
+    return _bound(_col(text), each)
 
 
 def canonical_json(text: Column | str) -> Column:
     """Comparable text of one JSON value: keys sorted, array order kept, numbers normalised.
 
-    NULL when ``text`` is not exactly one valid JSON value. The variant parser accepts
-    trailing text, so the value is parsed inside an array (which must then have one
-    element) and inside an object (from which the text is rendered).
+    NULL when ``text`` is not exactly one valid JSON value. Each text is parsed once.
     """
-    c = _one_spelling(_col(text))
-    as_array = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    form = F.to_json(F.try_variant_get(as_field, "$.v", "variant"))
-    is_single = F.size(F.try_variant_get(as_array, "$", "array<variant>")) == 1
-    # Only numbers written with an exponent come out as doubles.
-    return F.when(
-        is_single, F.when(c.rlike("[0-9][eE]"), F.regexp_replace(form, _WHOLE_DOUBLE, "$1$2")).otherwise(form)
-    )
+    return _finished(text, lambda form: form)
 
 
 def object_digest(text: Column | str) -> Column:
@@ -66,8 +91,7 @@ def object_digest(text: Column | str) -> Column:
     Equal digests mean structurally equal objects. A digest is computed once, before a
     join, and is short to move; the texts themselves need not meet.
     """
-    form = F.nullif(F.regexp_extract(canonical_json(text), r"(?s)^\{.*", 0), F.lit(""))
-    return F.sha2(form, 256)
+    return _finished(text, lambda form: F.when(form.startswith("{"), F.sha2(form, 256)))
 
 
 def compare_digests(required_empty: Column, current_empty: Column, required: Column, current: Column) -> Column:
@@ -96,7 +120,7 @@ def json_status(required: Column | str, current: Column | str) -> Column:
 
 def valid_object(text: Column | str) -> Column:
     """True when ``text`` is exactly one JSON object."""
-    return F.coalesce(canonical_json(text).startswith("{"), F.lit(False))
+    return F.coalesce(_finished(text, lambda form: form.startswith("{")), F.lit(False))
 
 
 def json_path(text: Column | str, path: str, type_: str = "string") -> Column:
