@@ -29,7 +29,7 @@ SHARD_LINES = 4096
 #: Bound of the keys that are broadcast (28 bytes each).
 HEAVY_KEYS = 65_536
 _LINES = "id long, text_hash long, pos int, first int, key long, mark long"
-_ARRAYS = "shard long, hash binary, marks binary, counts binary, keepers binary"
+_ARRAYS = "shard long, hash binary, marks binary, counts binary, keepers binary, more binary"
 
 
 def line_keys(text: str | None, min_chars: int) -> Iterator[tuple[int, bytes]]:
@@ -64,21 +64,24 @@ def _lines(min_chars: int):
 
 
 def _build(shard: pd.DataFrame) -> pd.DataFrame:
-    """One shard's arrays. Of two keys with the same 64 bits (never seen, but possible) the
-    more frequent stands in the arrays."""
-    shard = shard.sort_values(["docs", "mark"], ascending=False).drop_duplicates("key")
-    keys = shard["key"].to_numpy(np.int64)
-    perfect = PerfectHash.build(keys)
-    order = np.argsort(perfect.index(keys))
+    """One shard's arrays. Of keys with the same 64 bits the most frequent stands in the arrays,
+    the others in a list of (key, mark, count, keeper)."""
+    shard = shard.sort_values(["docs", "mark"], ascending=False)
+    again, number = shard.duplicated("key").to_numpy(), shard["shard"].iloc[:1].to_numpy()
     keeper = shard["keeper"].astype("float").isna().to_numpy()
     # A key held by documents without id only: no id is the largest, none of them is dropped.
     keepers = np.where(keeper, np.iinfo(np.int64).min, shard["keeper"].fillna(0).to_numpy(np.int64))
+    whole = np.column_stack([*(shard[c].to_numpy(np.int64) for c in ("key", "mark", "docs")), keepers])
+    keys, marks, counts, keepers = np.ascontiguousarray(whole[~again].T)
+    perfect = PerfectHash.build(keys)
+    order = np.argsort(perfect.index(keys))
     return pd.DataFrame({
-        "shard": shard["shard"].iloc[:1].to_numpy(),
+        "shard": number,
         "hash": [perfect.to_bytes()],
-        "marks": [shard["mark"].to_numpy(np.int64)[order].tobytes()],
-        "counts": [shard["docs"].to_numpy(np.int64)[order].tobytes()],
+        "marks": [marks[order].tobytes()],
+        "counts": [counts[order].tobytes()],
         "keepers": [keepers[order].tobytes()],
+        "more": [whole[again].tobytes()],
     })
 
 
@@ -88,13 +91,22 @@ class Arrays:
     def __init__(self, row):
         self.hash = PerfectHash.from_bytes(row.hash)
         self.marks, self.counts, self.keepers = (np.frombuffer(x, np.int64) for x in (row.marks, row.counts, row.keepers))
+        self.more = np.frombuffer(row.more, np.int64).reshape(-1, 4)
 
     def probe(self, lines: pd.DataFrame, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Which lines the arrays know, and which of them go."""
-        at = self.hash.index(lines["key"].to_numpy(np.int64))
-        known = (at >= 0) & (self.marks[at] == lines["mark"].to_numpy(np.int64)) if self.hash.n else np.zeros(len(lines), bool)
+        keys, marks = (lines[c].to_numpy(np.int64) for c in ("key", "mark"))
+        if not self.hash.n:
+            return np.zeros(len(lines), bool), np.zeros(len(lines), bool)
+        at = self.hash.index(keys)
+        known = (at >= 0) & (self.marks[at] == marks)
         ids = lines["id"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        return known, known & (self.counts[at] >= min_docs) & (self.keepers[at] != ids) if self.hash.n else known
+        go = known & (self.counts[at] >= min_docs) & (self.keepers[at] != ids)
+        for key, mark, count, keeper in self.more:
+            same = (keys == key) & (marks == mark)
+            known |= same
+            go |= same & (count >= min_docs) & (keeper != ids)
+        return known, go
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
