@@ -107,7 +107,7 @@ class Model:
         u = np.where(positive, 0, share) / share[~positive].sum()
         size = len(self.weights)
         x = np.zeros(size + 1)
-        x[-1] = np.log(prior / (1 - prior))
+        x[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))  # where the search starts
         m, v = np.zeros(size + 1), np.zeros(size + 1)
         for step in range(1, STEPS + 1):
             z = x[-1] + np.bincount(rows, x[:-1][columns], n)
@@ -178,22 +178,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label 1, and about ``unlabelled`` of all of them, whatever the label, by a hash of the id.
 
     The class prior is the share of label 1 among these documents. Rows without id or label
-    teach nothing; of several labels of a document the largest counts. Without any positive
-    there is no model, and every score is 0.
+    teach nothing; of several labels of a document the largest counts, of several texts that of
+    the smallest hash, so a repeated id teaches once. Without any positive there is no
+    model, and every score is 0.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0))).first()
     if not toxic:
         return Classifier({}, [], [], 0.0)
-    prior = min(max(toxic / n, 0.001), 0.5)
+    prior = toxic / n
     chance = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     # A text of both kinds appears twice, once as a positive and once as an unlabelled one.
     as_positive = known.filter("toxic").filter(chance < positives / toxic).select("id", F.lit(True).alias("positive"))
     as_other = known.filter(chance < unlabelled / n).select("id", F.lit(False).alias("positive"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # Some 25,000 ids at most: the texts stay where they are.
-    sample = texts.join(F.broadcast(as_positive.union(as_other)), "id").select("positive", "text")
+    # Some 25,000 ids at most: the texts stay where they are, and one of each id is taken.
+    sample = texts.join(F.broadcast(as_positive.union(as_other)), "id")
+    sample = sample.groupBy("id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("positive", "text")
     sample = stored(sample.mapInArrow(_texts_to_features, "positive boolean, features array<int>"), "features")
     vocabulary = {f: i for i, f in enumerate(select_features(sample, features))}
     if not vocabulary:
