@@ -8,6 +8,7 @@ sets there are.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, Observation, Row
@@ -26,7 +27,11 @@ from tableset.plans.reindex import copy_rows, newest_per_id
 from tableset.plans.stored_writes import grow, put_documents
 from tableset.schemas import declared_schema
 from tableset.session import durable
-from tableset.sources.store import State, Store
+from tableset.sources.store import SnapshotConflict, State, Store
+
+
+# Batches of the log after which a run keeps its latest entries apart.
+COMPACT_AFTER = 32
 
 
 class MigrationError(Exception):
@@ -42,7 +47,7 @@ def migrate(store: Store, desired: Desired, version: str, prototype_env: str = "
     state = store.state()
     # The tables read here are changed below, so the actions are fixed first, once.
     planned = durable(
-        planned_actions(desired, store.changelog(), state.membership, state.pipelines, version, prototype_env)
+        planned_actions(desired, store.recent_log(), state.membership, state.pipelines, version, prototype_env)
     )
     changes, errors = split_errors(planned)
     problem = errors.orderBy("kind", "key", "reason").first()
@@ -67,6 +72,8 @@ def apply_changes(store: Store, changes: DataFrame, env: str, state: State | Non
         write_documents(store, changes)
     if "write_changelog" in kinds:
         store.append_log(log_entries(changes, env))
+        with contextlib.suppress(SnapshotConflict):  # another run is at it
+            store.compact_log(COMPACT_AFTER)
 
 
 def put_pipelines(store: Store, changes: DataFrame, state: State) -> None:

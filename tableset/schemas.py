@@ -29,6 +29,8 @@ CHANGELOG = struct(
     content=STRING, meta=STRING, timestamp=TIMESTAMP, entry_seq=LONG,
 )
 MEMBERSHIP = struct(alias=STRING, version_name=STRING)
+# Which batches of the log a table of latest entries covers, as ranges of numbers, and its folder.
+COVERED = struct(folder=STRING, first=LONG, last=LONG)
 CHANGE_SET = struct(
     stage=INT, key=STRING, step=INT, action=STRING, target=STRING, source=STRING,
     max_docs=INT, pipeline=STRING, definition=STRING, meta=STRING,

@@ -2,7 +2,8 @@
 
 Everything is Parquet below one root folder:
 
-``changelog/``                        append-only log rows, by type and environment
+``changelog/batch=<n>/``              append-only log rows, by type and environment
+``latest/ latest_rows/``              the latest log row of every key, up to some batches
 ``pipelines/ catalog/ parts/``        small tables, one complete snapshot per change
 ``data/layout=<id>/folder=<f>/``      documents, split by ``bucket`` and ``outcome``
 
@@ -35,11 +36,13 @@ from pyspark.sql import types as T
 
 from tableset.functions.layout import layout_id
 from tableset.operators.aliases import swap, unreferenced
+from tableset.operators.latest import latest_entries
 from tableset.operators.spread import lookup
 from tableset.operators.upsert import delete_keys, upsert
 from tableset.schemas import (
     CATALOG,
     CHANGELOG,
+    COVERED,
     FAILURE,
     INT,
     LONG,
@@ -145,6 +148,7 @@ class Store:
         self._pipelines = Snapshots(spark, f"{self.root}/pipelines", PIPELINE)
         self._catalog = Snapshots(spark, f"{self.root}/catalog", CATALOG)
         self._parts = Snapshots(spark, f"{self.root}/parts", PART)
+        self._latest = Snapshots(spark, f"{self.root}/latest", COVERED)
 
     def state(self) -> State:
         """Versions, members and pipelines of this moment."""
@@ -161,12 +165,59 @@ class Store:
         return self.spark.read.schema(CHANGELOG).parquet(f"{self.root}/changelog").select(*CHANGELOG.names)
 
     def append_log(self, rows: DataFrame) -> None:
-        """Append log rows (one write for all of them), stamped with the present time.
+        """Append log rows (one batch for all of them), stamped with the present time.
 
         Type and environment are folders, so that a run reads the log of its own
         environment only, however long the log of the others is.
         """
-        log_rows(rows).write.mode("append").partitionBy(*LOG_FOLDERS).parquet(f"{self.root}/changelog")
+        number = max([0, *self._numbers("changelog", "batch="), *self._numbers("batches", "")]) + 1
+        while not self._claim(f"{self.root}/batches/{number}"):
+            number += 1
+        log_rows(rows).write.partitionBy(*LOG_FOLDERS).parquet(f"{self.root}/changelog/batch={number}")
+
+    def recent_log(self) -> DataFrame:
+        """Log rows that hold the latest entry of every key: the compacted ones and the batches since.
+
+        Whoever looks for latest entries finds the same here as in the whole log.
+        """
+        _, folder, _, tail = self._covered()
+        return self._log_rows(folder, tail)
+
+    def compact_log(self, after: int = 1) -> bool:
+        """Keep the latest entry of every key apart, if ``after`` batches or more came since that was done last.
+
+        Batches stay in the log. Those not committed yet are left for the next time, whatever their number.
+        """
+        base, folder, covered, tail = self._covered()
+        if len(tail) < max(after, 1):
+            return False
+        fresh = uuid.uuid4().hex
+        rows = latest_entries(self._log_rows(folder, tail))
+        rows.write.partitionBy(*LOG_FOLDERS).parquet(f"{self.root}/latest_rows/folder={fresh}")
+        whole = [(fresh, first, last) for first, last in ranges({*covered, *tail})]
+        self._latest.write(self.spark.createDataFrame(whole, COVERED), base)
+        return True
+
+    def _covered(self) -> tuple[int, str | None, set[int], list[int]]:
+        """Number of the snapshot, folder of the compacted rows, batches they cover, committed batches beyond."""
+        base, rows = self._latest.current()
+        rows = rows.collect()
+        covered = {n for r in rows for n in range(r["first"], r["last"] + 1)}
+        tail = [n for n in self._numbers("changelog", "batch=") if n not in covered and self._exists(f"{self.root}/changelog/batch={n}/_SUCCESS")]
+        return base, rows[0]["folder"] if rows else None, covered, tail
+
+    def _log_rows(self, folder: str | None, tail: list[int]) -> DataFrame:
+        log, parts = f"{self.root}/changelog", []
+        read = self.spark.read.schema(CHANGELOG)
+        # The compacted folder has no files if no batch had a row.
+        if folder is not None:
+            parts.append(read.parquet(f"{self.root}/latest_rows/folder={folder}"))
+        if len(tail) > NAMED_FOLDERS:
+            parts.append(read.parquet(log).filter(F.col("batch").isin(tail)))
+        elif tail:
+            parts.append(read.option("basePath", log).parquet(*(f"{log}/batch={n}" for n in tail)))
+        parts = [p.select(*CHANGELOG.names) for p in parts]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], CHANGELOG)
 
     # registry of pipelines
 
@@ -339,6 +390,29 @@ class Store:
         for folder in sorted(folders):
             self._delete(f"{self.data_path(row['layout'])}/folder={folder}")
 
+    def sweep(self, older_than: float = 7 * 24 * 3600) -> list[str]:
+        """Delete what no committed table names any more; returns the paths.
+
+        Data folders that no version and no part points to, compacted log rows that were replaced,
+        and former snapshots with their claims; only what has been there for ``older_than`` seconds,
+        so that runs at work and readers of an older state keep theirs. An interrupted write's claim
+        is not touched: see ``release``.
+        """
+        latest, rows = self._latest.current()
+        live = self.pointers(self.versions()).select("folder").distinct()
+        found = [(path, name) for layout in self._children(f"{self.root}/data") for path, name in self._old(layout, "folder=", older_than)]
+        known = self.spark.createDataFrame(found, "path STRING, folder STRING")
+        dead = [r["path"] for r in known.join(live, "folder", "left_anti").collect()]
+        kept = {r["folder"] for r in rows.collect()}
+        dead += [path for path, name in self._old(f"{self.root}/latest_rows", "folder=", older_than) if name not in kept]
+        for table in (self._pipelines, self._catalog, self._parts, self._latest):
+            number = table.current()[0]
+            dead += [path for path, n in self._old(table.path, "snapshot=", older_than) if int(n) < number]
+            dead += [path for path, n in self._old(f"{table.path}/claims", "", older_than) if n.isdigit() and int(n) < number]
+        for path in dead:
+            self._delete(path)
+        return dead
+
     # buckets
 
     def pointers(self, versions: DataFrame, parts: DataFrame | None = None) -> DataFrame:
@@ -399,6 +473,29 @@ class Store:
         hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
+    def _claim(self, path: str) -> bool:
+        """Create an empty file, unless it is there."""
+        fs, hadoop_path = self._fs(path)
+        fs.mkdirs(hadoop_path.getParent())
+        return bool(fs.createNewFile(hadoop_path))
+
+    def _listed(self, path: str):
+        fs, hadoop_path = self._fs(path)
+        return fs.listStatus(hadoop_path) if fs.exists(hadoop_path) else []
+
+    def _children(self, path: str) -> list[str]:
+        return sorted(s.getPath().toString() for s in self._listed(path))
+
+    def _old(self, path: str, prefix: str, age: float) -> list[tuple[str, str]]:
+        """Path, and name behind ``prefix``, of what was last changed ``age`` seconds ago or more."""
+        limit = (time.time() - age) * 1000
+        found = [(s.getPath().toString(), s.getPath().getName()) for s in self._listed(path) if s.getModificationTime() <= limit]
+        return sorted((p, name.removeprefix(prefix)) for p, name in found if name.startswith(prefix))
+
+    def _numbers(self, folder: str, prefix: str) -> list[int]:
+        names = [s.getPath().getName() for s in self._listed(f"{self.root}/{folder}")]
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and n.removeprefix(prefix).isdigit())
+
     def _exists(self, path: str) -> bool:
         fs, hadoop_path = self._fs(path)
         return bool(fs.exists(hadoop_path))
@@ -422,6 +519,12 @@ def stored_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([*head.fields, *schema.fields, *tail.fields])
 
 
+def ranges(numbers: set[int]) -> list[tuple[int, int]]:
+    """First and last of every run of consecutive numbers."""
+    firsts, lasts = sorted(n for n in numbers if n - 1 not in numbers), sorted(n for n in numbers if n + 1 not in numbers)
+    return list(zip(firsts, lasts))
+
+
 def versions_of(catalog: DataFrame) -> DataFrame:
     return catalog.filter(F.col("alias").isNull()).select(*VERSION.names)
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableset.operators.latest import latest_entries
 from tableset.plans.baseline import import_baseline
 from tableset.plans.migrate import copy_group
 from tableset.plans.stored_writes import get_documents, put_documents, put_if
 from tableset.session import fresh_path
 from tableset.sources.store import Store, new_folder
 from workloads.job_queries import _KEYS_SQL, _desired, text
+from workloads.log_queries import event_log
 from workloads.registry import query, table
 
 # Orders as documents of one version, in buckets by their keys.
@@ -124,3 +126,18 @@ def stored_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = desired.documents.select(F.lit("document"), F.concat_ws("/", "index_set", "name"))
     import_baseline(store, desired, sets.union(documents))
     return store.changelog().drop("timestamp", "entry_seq")
+
+
+@query("""
+WITH e AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-05 00:00:00' THEN 1 WHEN event_type = 'click' THEN 2 ELSE 3 END AS batch FROM events)
+SELECT event_type AS resource_type, CAST(user_id AS VARCHAR) AS resource_identifier, event_id AS entry_seq, props AS content FROM e
+QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY batch DESC, event_id DESC) = 1
+""")
+def stored_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest entries out of the compacted log and the batches since; a later batch is the newer one."""
+    store, events = Store(spark, fresh_path(spark, "log")), event_log(spark, sf_dir)
+    early, clicks = F.col("timestamp") < F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), F.col("resource_type") == "click"
+    for batch in (early, ~early & clicks, ~early & ~clicks):
+        store.append_log(events.filter(batch))
+        store.compact_log(after=2)
+    return latest_entries(store.recent_log()).select("resource_type", "resource_identifier", "entry_seq", "content")
