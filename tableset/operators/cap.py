@@ -13,6 +13,10 @@ TOP_N_LIMIT = 10_000
 
 UNLIMITED = -1
 
+# Sets of more ids than this are narrowed before they are sorted, by samples of about so many
+# ids, in so many rounds at most.
+SORTED_ROWS, SAMPLE_ROWS, NARROWINGS = 1_000_000, 20_000, 8
+
 # monotonically_increasing_id keeps the row number of a partition in its low 33 bits.
 ROW_BITS = 33
 
@@ -22,7 +26,7 @@ def cap(df: DataFrame, n: int, id_col: str = "_id", top_n_limit: int = TOP_N_LIM
 
     The n-th id is looked up among the ids alone and becomes a filter; the rows are never
     moved. For a small cap the lookup is a top-n of ids within the query. For a large one
-    the ids are ranked over many tasks first.
+    see ``nth_ids``.
     """
     if n == UNLIMITED:
         return df
@@ -42,8 +46,8 @@ def cap_by_key(
 ) -> DataFrame:
     """Per ``key`` the first ``limit_col`` rows by ``id_col`` (unique per key); -1 keeps all.
 
-    ``limits`` has one row per key; rows of other keys are kept whole. Only the ids of
-    capped keys are shuffled. The cut of a key is one id, so the rows meet a table with
+    ``limits`` has one row per key; rows of other keys are kept whole. Only ids of
+    capped keys are shuffled, few of those of large keys. The cut of a key is one id, so the rows meet a table with
     one row per capped key, broadcast when small (see ``lookup``).
     """
     capped = limits.filter(F.col(limit_col) != UNLIMITED).select(
@@ -68,9 +72,75 @@ def cap_by_key(
     return joined.filter(keep).drop("_last_id", "_none")
 
 
-def nth_ids(ids: DataFrame, limits: DataFrame) -> DataFrame:
+def nth_ids(ids: DataFrame, limits: DataFrame, sorted_rows: int = SORTED_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``(_set, _last_id)``: the ``_limit``-th id of every ``_set`` that has so many.
 
+    Sets of more than ``sorted_rows`` ids are narrowed first: about ``sample_rows`` of a set's
+    ids, chosen by a hash, give two bounds around the wanted rank, and one pass counts the ids
+    up to each. Only ids between them are left, and the rank among them is known, so this is
+    exact whatever the sample was. What is left of all sets at last is sorted.
+    """
+    known = limits.select("_set", "_limit")
+    counted = lookup(ids, known, ["_set"], "_id", how="inner").groupBy("_set").agg(F.count(F.lit(1)).alias("_inside"))
+    none = F.lit(None).cast(ids.schema["_id"].dataType)
+    open_ = durable(known.join(counted, "_set").filter("_limit <= _inside").withColumns({"_low": none, "_high": none, "_below": F.lit(0).cast("long")}))
+    for step in range(NARROWINGS):
+        large = open_.filter(F.col("_inside") > sorted_rows)
+        if large.isEmpty():
+            break
+        left = open_.filter(F.col("_inside") <= sorted_rows)
+        narrower = durable(_narrowed(ids, large, sample_rows, step))
+        # Ids that are equal many times may keep a set from becoming smaller; it is sorted then.
+        stuck = narrower.join(large.select("_set", F.col("_inside").alias("_was")), "_set").filter(F.col("_inside") >= F.col("_was")).select("_set")
+        open_ = durable(left.unionByName(narrower, allowMissingColumns=True))
+        if not stuck.isEmpty():
+            break
+    inside = _inside(ids, open_)
+    return _nth_of_sorted(inside.select("_set", "_id"), open_.select("_set", (F.col("_limit") - F.col("_below")).alias("_limit")))
+
+
+def _inside(ids: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Ids above ``_low`` and up to ``_high`` of their set; NULL is no bound."""
+    both = lookup(ids, bounds, ["_set"], "_id", how="inner")
+    above = F.col("_low").isNull() | (F.col("_id") > F.col("_low"))
+    return both.filter(above & (F.col("_high").isNull() | (F.col("_id") <= F.col("_high"))))
+
+
+def _narrowed(ids: DataFrame, sets: DataFrame, sample_rows: int, step: int) -> DataFrame:
+    """The sets with closer bounds around the wanted id."""
+    chance = F.pmod(F.xxhash64(F.lit(step), "_id"), F.lit(1 << 30)) / (1 << 30)
+    sample = _inside(ids, sets).filter(chance * F.col("_inside") < sample_rows)
+    by_id, whole = Window.partitionBy("_set").orderBy("_id"), Window.partitionBy("_set")
+    at = (F.col("_limit") - F.col("_below")) / F.col("_inside") * F.count(F.lit(1)).over(whole)
+    ranked = sample.select("_set", "_id", F.row_number().over(by_id).alias("_rank"), at.alias("_at"))
+    # Four standard deviations of the wanted id's rank in the sample.
+    margin = 2 * F.sqrt(F.lit(float(sample_rows))) + 1
+    picked = ranked.groupBy("_set").agg(
+        F.max(F.when(F.col("_rank") <= F.col("_at") - margin, F.col("_id"))).alias("_first"),
+        F.min(F.when(F.col("_rank") >= F.col("_at") + margin, F.col("_id"))).alias("_second"),
+    )
+    cuts = durable(sets.join(picked, "_set", "left"))
+    counts = _inside(ids, cuts).groupBy("_set").agg(
+        F.count_if(F.col("_id") <= F.col("_first")).alias("_upto_first"), F.count_if(F.col("_id") <= F.col("_second")).alias("_upto_second")
+    )
+    now, rank = cuts.join(counts, "_set"), F.col("_limit") - F.col("_below")
+    lower = F.col("_first").isNotNull() & (rank <= F.col("_upto_first"))
+    higher = F.col("_second").isNotNull() & (rank > F.col("_upto_second"))
+    first, second = F.coalesce("_first", "_low"), F.coalesce("_second", "_high")
+    upto_first = F.when(F.col("_first").isNull(), 0).otherwise(F.col("_upto_first"))
+    upto_second = F.when(F.col("_second").isNull(), F.col("_inside")).otherwise(F.col("_upto_second"))
+    begin = F.when(lower, 0).when(higher, upto_second).otherwise(upto_first)
+    end = F.when(lower, upto_first).when(higher, F.col("_inside")).otherwise(upto_second)
+    return now.select(
+        "_set", "_limit", F.when(lower, F.col("_low")).when(higher, second).otherwise(first).alias("_low"),
+        F.when(lower, first).when(higher, F.col("_high")).otherwise(second).alias("_high"),
+        (F.col("_below") + begin).alias("_below"), (end - begin).alias("_inside"),
+    )
+
+
+def _nth_of_sorted(ids: DataFrame, limits: DataFrame) -> DataFrame:
+    """The ``_limit``-th id of every ``_set``, by sorting all ids.
+
     The ids are range-partitioned by (set, id), so a set with very many ids spans many
     tasks. Sorted inside each task, the row number there plus the number of ids of the set
     in earlier tasks is the rank. The sorted ids are materialised once, so that counts and

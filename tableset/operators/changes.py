@@ -11,6 +11,8 @@ from tableset.functions.json import compare_digests, object_digest
 from tableset.operators.spread import lookup
 from tableset.schemas import CHANGELOG_KEYS
 
+ERROR_DIGEST = "error"
+
 
 def with_digest(df: DataFrame, text: str, into: str) -> DataFrame:
     """Add what a comparison needs of a JSON text: ``{into}_empty`` and ``{into}_digest``."""
@@ -18,6 +20,27 @@ def with_digest(df: DataFrame, text: str, into: str) -> DataFrame:
     return df.withColumns({f"{into}_empty": value == "", f"{into}_digest": object_digest(value)})
 
 
+def with_stored_digests(log: DataFrame) -> DataFrame:
+    """Log rows with ``content_digest`` and ``meta_digest``, computed for those that were stored without.
+
+    A stored digest is empty for an empty text and ``error`` for what isn't one JSON object.
+    """
+    for text in ("content", "meta"):
+        value = F.coalesce(F.col(text), F.lit(""))
+        found = F.when(value == "", F.lit("")).otherwise(F.coalesce(object_digest(value), F.lit(ERROR_DIGEST)))
+        stored = F.col(f"{text}_digest") if f"{text}_digest" in log.columns else F.lit(None)
+        log = log.withColumn(f"{text}_digest", F.coalesce(stored, found))
+    return log
+
+
+def _logged(latest: DataFrame, text: str, into: str) -> DataFrame:
+    """``with_digest``, from the stored digest where the log has one for every row."""
+    if f"{text}_digest" not in latest.columns:
+        return with_digest(latest, text, into)
+    digest = F.col(f"{text}_digest")
+    return latest.withColumns({f"{into}_empty": digest == "", f"{into}_digest": F.when(~digest.isin("", ERROR_DIGEST), digest)})
+
+
 def digest_status(required: str, current: str) -> Column:
     return compare_digests(
         *[F.col(f"{side}_{part}") for part in ("empty", "digest") for side in (required, current)]
@@ -31,9 +54,9 @@ def change_status(
 
     ``desired`` holds the keys, ``content`` and ``meta`` (text); ``latest`` holds at most
     one row per key. Content decides first, then meta. Every text is parsed once, on its
-    own side of the join.
+    own side of the join, and a logged one not at all if its digest is stored.
     """
-    logged = with_digest(with_digest(latest, "content", "_log_c"), "meta", "_log_m").select(
+    logged = _logged(_logged(latest, "content", "_log_c"), "meta", "_log_m").select(
         *keys, F.lit(True).alias("_logged"), "_log_c_empty", "_log_c_digest", "_log_m_empty", "_log_m_digest"
     )
     wanted = with_digest(with_digest(desired, "content", "_c"), "meta", "_m")

@@ -28,6 +28,8 @@ CHANGELOG = struct(
     resource_type=STRING, resource_identifier=STRING, final_name=STRING, env_name=STRING,
     content=STRING, meta=STRING, timestamp=TIMESTAMP, entry_seq=LONG,
 )
+# The log as stored: with the digests of its texts.
+LOGGED = T.StructType([*CHANGELOG.fields, *struct(content_digest=STRING, meta_digest=STRING).fields])
 MEMBERSHIP = struct(alias=STRING, version_name=STRING)
 # Which batches of the log a table of latest entries covers, as ranges of numbers, and its folder.
 COVERED = struct(folder=STRING, first=LONG, last=LONG)

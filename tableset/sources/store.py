@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from tableset.functions.layout import layout_id
 from tableset.operators.aliases import swap, unreferenced
+from tableset.operators.changes import with_stored_digests
 from tableset.operators.latest import latest_entries
 from tableset.operators.spread import lookup
 from tableset.operators.upsert import delete_keys, upsert
@@ -45,6 +46,7 @@ from tableset.schemas import (
     COVERED,
     FAILURE,
     INT,
+    LOGGED,
     LONG,
     MEMBERSHIP,
     PART,
@@ -168,17 +170,19 @@ class Store:
         """Append log rows (one batch for all of them), stamped with the present time.
 
         Type and environment are folders, so that a run reads the log of its own
-        environment only, however long the log of the others is.
+        environment only, however long the log of the others is. The digests of the texts are
+        stored with them, so no later run parses them.
         """
         number = max([0, *self._numbers("changelog", "batch="), *self._numbers("batches", "")]) + 1
         while not self._claim(f"{self.root}/batches/{number}"):
             number += 1
-        log_rows(rows).write.partitionBy(*LOG_FOLDERS).parquet(f"{self.root}/changelog/batch={number}")
+        with_stored_digests(log_rows(rows)).write.partitionBy(*LOG_FOLDERS).parquet(f"{self.root}/changelog/batch={number}")
 
     def recent_log(self) -> DataFrame:
         """Log rows that hold the latest entry of every key: the compacted ones and the batches since.
 
-        Whoever looks for latest entries finds the same here as in the whole log.
+        Whoever looks for latest entries finds the same here as in the whole log. The digests
+        of the texts stand beside them (``with_stored_digests``).
         """
         _, folder, _, tail = self._covered()
         return self._log_rows(folder, tail)
@@ -208,7 +212,7 @@ class Store:
 
     def _log_rows(self, folder: str | None, tail: list[int]) -> DataFrame:
         log, parts = f"{self.root}/changelog", []
-        read = self.spark.read.schema(CHANGELOG)
+        read = self.spark.read.schema(LOGGED)
         # The compacted folder has no files if no batch had a row.
         if folder is not None:
             parts.append(read.parquet(f"{self.root}/latest_rows/folder={folder}"))
@@ -216,8 +220,10 @@ class Store:
             parts.append(read.parquet(log).filter(F.col("batch").isin(tail)))
         elif tail:
             parts.append(read.option("basePath", log).parquet(*(f"{log}/batch={n}" for n in tail)))
-        parts = [p.select(*CHANGELOG.names) for p in parts]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], CHANGELOG)
+        # Compacted rows all have digests; batches that were written without get them here, until they are compacted.
+        whole = folder is not None
+        parts = [p.select(*LOGGED.names) if whole and i == 0 else with_stored_digests(p.select(*LOGGED.names)) for i, p in enumerate(parts)]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], LOGGED)
 
     # registry of pipelines
 

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tableset.operators.cap import cap, cap_by_key
+import tableset.operators.cap as cap_module
+from tableset.operators.cap import cap, cap_by_key, nth_ids
 from tableset.operators.transforms import apply_steps, parse_steps
 from tableset.plans.reindex import copy_rows, newest_per_id, reindex
 from tableset.schemas import declared_schema
@@ -168,3 +171,39 @@ def test_no_document_ends_a_copy(spark):
 
 def reindex_rows(df, steps):
     return copy_rows(df, declared_schema('{"mappings": {"properties": {"v": {"type": "long"}}}}'), steps).collect()
+
+
+def nth(rows, limits):
+    out = {}
+    for key, n in limits.items():
+        mine = sorted(i for k, i in rows if k == key)
+        if 0 < n <= len(mine):
+            out[key] = mine[n - 1]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nth_ids_of_large_sets_are_narrowed(spark, seed):
+    """One set holds most rows, one has few different ids, some have no n-th id."""
+    rng = random.Random(seed)
+    rows = [("hot", f"{rng.random():.9f}") for _ in range(4000)] + [("same", rng.choice("abc")) for _ in range(900)]
+    rows += [("small", str(i)) for i in range(30)] + [("other", str(i)) for i in range(300)]
+    limits = {"hot": rng.randint(1, 4000), "same": rng.randint(1, 900), "small": 7, "nothing": 3}
+    ids = spark.createDataFrame(rows, "_set STRING, _id STRING")
+    frame = spark.createDataFrame(list(limits.items()), "_set STRING, _limit LONG")
+    got = nth_ids(ids, frame, sorted_rows=100, sample_rows=400)
+    assert {r["_set"]: r["_last_id"] for r in got.collect()} == nth(rows, limits)
+    edges = spark.createDataFrame([("hot", 4000), ("same", 1), ("small", 31)], "_set STRING, _limit LONG")
+    got = nth_ids(ids, edges, sorted_rows=100, sample_rows=400)
+    assert {r["_set"]: r["_last_id"] for r in got.collect()} == nth(rows, {"hot": 4000, "same": 1})
+
+
+def test_few_ids_of_a_large_set_are_sorted(spark, monkeypatch):
+    """Of 200,000 ids less than one in a hundred is left to sort."""
+    sorted_ids = []
+    final = cap_module._nth_of_sorted
+    monkeypatch.setattr(cap_module, "_nth_of_sorted", lambda ids, limits: sorted_ids.append(ids.count()) or final(ids, limits))
+    df = spark.range(200_000).select(F.format_string("%09d", "id").alias("_id"))
+    got = nth_ids(df.select(F.lit(0).alias("_set"), "_id"), spark.createDataFrame([(0, 123_456)], "_set INT, _limit LONG"), 2000, 5000)
+    assert [r["_last_id"] for r in got.collect()] == ["000123455"]
+    assert sorted_ids[0] < 2000

@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tableset.operators.changes import change_status
 from tableset.operators.latest import latest_entries
 from tableset.plans.migrate import migrate
 from tableset.plans.stored_writes import put_documents
@@ -116,3 +117,22 @@ def test_sweep(spark, store):
     assert {n for n in os.listdir(store._catalog.path) if n.startswith("snapshot")} == {f"snapshot={store._catalog.current()[0]}"}
     migrate(store, desired_of(spark, sets=[("x", LONG, meta())]), "7")
     assert len(content(store, "env-x", "_id")) == 9
+
+
+def test_logged_texts_are_not_parsed_again(store, plan_of):
+    """Digests are stored with the log; a batch without them gets them when it is compacted."""
+    append(store, ("index_set", "a", "e", '{"b": 1, "a": 2}', 1), ("index_set", "b", "e", "", 2), ("index_set", "c", "e", "{", 3))
+    row = store.spark.createDataFrame([("index_set", "d", "f", "e", '{"a":2.0,"b":1}', "{}", 1)], ROW).withColumn("timestamp", F.current_timestamp())
+    row.write.partitionBy("resource_type", "env_name").parquet(f"{store.root}/changelog/batch=2")
+    before = {r.resource_identifier: r.content_digest for r in store.recent_log().collect()}
+    assert before["a"] == before["d"] and before["b"] == "" and before["c"] == "error"
+    store.compact_log()
+    log = store.recent_log()
+    assert {r.resource_identifier: r.content_digest for r in log.collect()} == before
+    desired = store.spark.createDataFrame([("a", '{"a":2,"b":1.0}', "{}"), ("b", "", "{}"), ("c", "{}", "{}"), ("d", "{}", "{}"), ("x", "{}", "{}")], "key STRING, content STRING, meta STRING")
+    status = change_status(desired, latest_entries(log.withColumnRenamed("resource_identifier", "key"), keys=["key"]), keys=["key"])
+    assert {r.key: r.status for r in status.collect()} == {"a": "same", "b": "same", "c": "error", "d": "changed", "x": "new"}
+    plan = plan_of(status)
+    scan = next(line for line in plan.split("\n") if "FileScan parquet" in line)
+    assert "content_digest" in scan and not [c for c in ("content", "meta") if f",{c}:string" in scan.partition("ReadSchema")[2]]
+    assert "parse_json" not in plan_of(log) and "variant" not in plan_of(log)
