@@ -28,22 +28,20 @@ def read_files(spark: SparkSession, directory: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _FILES)
-    files = files.select("path", F.col("content").cast("string").alias("content"))
-    empty = spark.createDataFrame([(path, "") for path in empty_files(spark, directory)], "path STRING, content STRING")
+    names, files = listed(files), files.select("path", F.col("content").cast("string").alias("content"))
+    # Spark's readers leave out files without content.
+    empty = names.join(files.select("path"), "path", "left_anti").select("path", F.lit("").alias("content"))
     return files.unionByName(empty).select("path", F.substring_index("path", "/", -1).alias("file_name"), "content")
 
 
-def empty_files(spark: SparkSession, directory: str) -> list[str]:
-    """Paths of the JSON files without content, which Spark's readers leave out."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
-    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
-    found = []
-    while listed.hasNext():
-        status = listed.next()
-        name = status.getPath().getName()
-        if status.getLen() == 0 and name.lower().endswith(".json") and name[0] not in "._":
-            found.append(status.getPath().toString())
-    return found
+def listed(files: DataFrame) -> DataFrame:
+    """Paths of all files that a reader has listed. They stay in the JVM, however many there are."""
+    spark, jvm = files.sparkSession, files.sparkSession.sparkContext._jvm
+    paths = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles())
+    encoded = DataFrame(spark._jsparkSession.createDataset(paths, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    # Listed paths are URL-encoded, and a plus sign is a plus sign.
+    path = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+    return encoded.select(F.regexp_replace(path, "^file:///", "file:/").alias("path"))
 
 
 def parse_files(files: DataFrame) -> DataFrame:
