@@ -52,10 +52,12 @@ def judge_updates(base: DataFrame, updates: DataFrame) -> DataFrame:
     is accepted and the rest conflict.
 
     Claims are reduced to one per (id, expected number) before they meet the base, and the
-    verdict joins back on (id, entry_seq): no step groups by a possibly hot id alone.
+    verdict joins back on (id, entry_seq): no step groups by a possibly hot id alone. The
+    base is reduced to the ids of the updates first, without a shuffle when these are few.
     """
     claims = updates.groupBy("_id", "expected_seq").agg(F.min("entry_seq").alias("entry_seq"))
-    stored = base.select(F.col("_id").alias("_stored_id"), "_seq_no")
+    asked = by_keys(base.select("_id", "_seq_no"), claims.select("_id"), ["_id"], "left_semi")
+    stored = asked.select(F.col("_id").alias("_stored_id"), "_seq_no")
     winners = (
         claims.join(stored, F.col("_id") == F.col("_stored_id"), "left")
         .filter(F.col("expected_seq").eqNullSafe(F.col("_seq_no")))
@@ -86,7 +88,7 @@ def delete_keys(base: DataFrame, keys: DataFrame, on: Sequence[str] = ("_id",))
 
 def write_outcomes(base: DataFrame, updates: DataFrame, keys: Sequence[str] = ("_id",)) -> DataFrame:
     """Updates with ``outcome``: rejected (``valid`` is false), updated (key is stored) or created."""
-    stored = base.select(*keys, F.lit(True).alias("_stored"))
+    stored = by_keys(base.select(*keys), updates.select(*keys), list(keys), "left_semi").withColumn("_stored", F.lit(True))
     return (
         updates.join(stored, list(keys), "left")
         .withColumn(

@@ -151,8 +151,7 @@ def _write(store: Store, versions: DataFrame, todo: DataFrame, conditional: bool
 
 
 def _judged(stored: DataFrame, placed: DataFrame) -> DataFrame:
-    """``judge_updates`` for the documents of several versions, against the stored ones that are asked for."""
-    few = by_keys(stored, placed.select(*KEYS).distinct(), KEYS, "left_semi")
+    """``judge_updates`` for the documents of several versions."""
     key = F.struct(*KEYS)
-    judged = judge_updates(few.select(key.alias("_id"), "_seq_no"), placed.withColumns({"_key": F.col("_id"), "_id": key}))
+    judged = judge_updates(stored.select(key.alias("_id"), "_seq_no"), placed.withColumns({"_key": F.col("_id"), "_id": key}))
     return judged.withColumn("_id", F.col("_key")).drop("_key")
