@@ -1,11 +1,13 @@
 """The operators on texts against brute-force versions, and on odd tables."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -117,6 +119,15 @@ def test_perfect_hash():
 
 # --- near duplicates ------------------------------------------------------------------------------------------------
 
+def test_keys_with_equal_64_bits(documents):
+    """Keys that clash are all held, in the arrays or in the list beside them."""
+    rows = pd.DataFrame({"shard": [0] * 5, "key": [7, 7, 7, 8, 9], "mark": [1, 2, 3, 1, 1], "docs": [3, 5, 2, 4, 3], "keeper": [10, 11, 12, None, 13]})
+    arrays = line_dedup.Arrays(line_dedup._build(rows).iloc[0])
+    lines = pd.DataFrame({"id": [1, 10, 1, 11, 1, 1, 1, 13, None], "key": [7, 7, 7, 7, 7, 7, 8, 9, 9], "mark": [1, 1, 2, 2, 3, 4, 1, 1, 1]})
+    known, go = arrays.probe(lines, 3)
+    assert known.tolist() == [True, True, True, True, True, False, True, True, True]
+    assert go.tolist() == [True, False, True, False, False, False, True, False, True]
+
 
 def brute_components(rows, width):
     def shingles(text):
@@ -318,6 +329,31 @@ def brute_targets(sizes, weights=(3, 1, 2)):
     return target
 
 
+def brute_quotas(due, most, seats):
+    """Seats one by one to the party with the highest quotient."""
+    quota = [0] * len(due)
+    for _ in range(seats):
+        able = [i for i in range(len(due)) if quota[i] < most[i] and due[i] > 0]
+        if not able:
+            break
+        quota[min(able, key=lambda i: ((quota[i] + 0.5) / due[i], i))] += 1
+    return quota
+
+
+def test_highest_quotients(spark, documents):
+    """Also of one large party and many small ones, and where parties are full."""
+    rng, cases = random.Random(4), [([153.75] + [0.59375] * 100, [400] * 101, 213), ([2.0, 2.0, 4.0], [2, 2, 40], 8), ([0.5] * 7, [1] * 7, 4), ([1.0], [1], 1), ([99.875] + [0.40625] * 10, [100] + [2] * 10, 104)]
+    for _ in range(30):
+        due = [rng.randint(0, 400) / 64 * rng.choice([1, 1, 16]) for _ in range(rng.randint(1, 40))]
+        cases.append((due, [rng.choice([math.ceil(d), 2 * math.ceil(d) + 1]) for d in due], round(sum(due))))
+    rows = [(c, i, d, m, s) for c, (due, most, s) in enumerate(cases) for i, (d, m) in enumerate(zip(due, most))]
+    parties = spark.createDataFrame(rows, "case int, i int, d double, m long, s long")
+    out = mixing.apportion(parties, ["case"], [F.col("i")], F.col("d"), F.col("s"), F.col("m")).collect()
+    got = {(r.case, r.i): r.quota for r in out}
+    for c, (due, most, seats) in enumerate(cases):
+        assert [got[c, i] for i in range(len(due))] == brute_quotas(due, most, seats), cases[c]
+
+
 def test_mix(documents):
     r = random.Random(5)
     rows = [(i, " ".join(["w"] * r.randint(0, 60)), r.choice(["a", "a", "a", "b", "c", None, "z"])) for i in range(800)]
@@ -432,6 +468,24 @@ def test_held_out_labels_are_not_learnt(toxic_table):
     assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(*scores))
 
 
+def test_prior_and_repeated_ids(spark, documents):
+    """The prior is the share of label 1, however large or small; an id that is repeated very often teaches once."""
+    labels = spark.createDataFrame([(i, 0, int(i != 3)) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"bad words {i}" if i != 3 else "kind words", "s") for i in range(40)]
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    found = toxicity.learn(documents(rows), labels)
+    assert found.prior == sum(i != 3 for i in known) / len(known) > 0.5
+    often = next(i for i in known if i != 3)
+    repeated = documents(rows + [(often, f"bad words again {j}", "s") for j in range(500)])
+    sizes, seen = [], toxicity.stored
+    try:
+        toxicity.stored = lambda df, label: sizes.append((out := seen(df, label)).count()) or out
+        toxicity.learn(repeated, labels)
+    finally:
+        toxicity.stored = seen
+    assert sizes[0] <= 2 * len(known)
+
+
 def test_risk_is_not_negative():
     """Positives that look like all others: the corrected risk keeps the scores at the prior."""
     r = np.random.default_rng(1)
