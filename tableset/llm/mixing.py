@@ -44,16 +44,33 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
 def apportion(parties: DataFrame, group: list[str], order: list[Column], due: Column, seats: Column, most: Column) -> DataFrame:
     """Add ``quota``: the group's ``seats`` by the highest quotients due / (2 k + 1), ``most`` each at most.
 
-    ``due`` is a party's exact share of the seats. All but the last two of its whole seats are
-    its own; those and one more compete, in the order of ``order`` where quotients tie.
+    ``due`` is a party's share of the seats, no more than ``most``; in a group they add up to the
+    seats, but for rounding. Seat k of a party is taken at the level (k + 1/2) / due, and the
+    seats of the lowest levels win, in the order of ``order`` where levels tie. With n parties,
+    the seats up to a level are at most n / 2 from level * all dues, so those up to the lower
+    bound are sure. The upper one is the first of 1 + 2**j * n / 2 / dues up to which there are
+    enough seats, so none beyond it wins, and only the seats between them, some three for
+    each party at most, are ranked.
     """
-    sure = F.greatest(F.floor(due).cast("long") - 1, F.lit(0).cast("long"))
-    rivals = parties.withColumn("sure", sure).withColumn("due", due).withColumn("seats", seats).withColumn("most", most)
+    rivals = parties.withColumns({"due": due.cast("double"), "seats": seats, "most": most})
     whole = Window.partitionBy(*group)
+    half = F.count(F.lit(1)).over(whole) / 2 + 1
+    # Parties that have all they may have leave what is beyond to the others.
+    able = F.sum(F.when(F.col("due") < F.col("most"), F.col("due"))).over(whole)
+    rivals = rivals.withColumns({"low": F.greatest((F.col("seats") - half) / F.sum("due").over(whole), F.lit(0)), "wide": half / able})
+
+    def upto(level: Column) -> Column:
+        return F.least(F.floor(level * F.col("due") + 0.5).cast("long"), F.col("most"))
+
+    rivals = rivals.withColumn("sure", F.coalesce(upto(F.col("low")), F.lit(0).cast("long")))
     rivals = rivals.withColumn("free", F.col("seats") - F.sum("sure").over(whole))
-    seat = rivals.withColumn("k", F.explode(F.array(*(F.col("sure") + i for i in range(3)))))
-    ahead = F.row_number().over(whole.orderBy((F.col("k") + 0.5) / F.col("due"), *order, "k"))
-    won = seat.withColumn("won", ((F.col("k") < F.col("most")) & (F.col("due") > 0) & (ahead <= F.col("free"))).cast("long"))
+    levels = [1 + F.col("wide") * 2**j for j in range(24)]
+    rivals = rivals.withColumn("enough", F.array(*(F.sum(upto(x)).over(whole) >= F.col("seats") for x in levels)))
+    high = F.coalesce(*(F.when(F.col("enough")[j], x) for j, x in enumerate(levels)))
+    last = F.coalesce(upto(high), F.col("most"))
+    seat = rivals.withColumn("k", F.explode_outer(F.when((F.col("due") > 0) & (last > F.col("sure")), F.sequence(F.col("sure"), last - 1))))
+    ahead = F.row_number().over(whole.orderBy(F.col("k").isNull(), (F.col("k") + 0.5) / F.col("due"), *order, "k"))
+    won = seat.withColumn("won", (F.col("k").isNotNull() & (ahead <= F.col("free"))).cast("long"))
     return won.groupBy(*parties.columns, "sure").agg(F.sum("won").alias("won")).select(*parties.columns, (F.col("sure") + F.col("won")).alias("quota"))
 
 
