@@ -1,12 +1,13 @@
 """Lines that many documents share, dropped from all but one of them.
 
 Lines become 128-bit hashes in one pass; 64 bits are the key, 64 the fingerprint. One
-aggregation counts the documents of each key and finds the largest id. Keys that reach
-``min_docs`` go to shards by key; a shard is one minimal perfect hash and, at its indexes,
-arrays of fingerprints, counts and largest ids. The documents' lines are dealt to the shards
-by key and probe the arrays; neither texts nor lines are joined. A key in so many documents
-that its shard would become large is probed where the lines are: at most ``HEAVY_KEYS``
-such keys exist by the way their limit is set, and their arrays are broadcast.
+aggregation counts the documents of each key and finds the largest id. All keys go to
+shards by key; a shard is one minimal perfect hash and, at its indexes, arrays of
+fingerprints, counts and largest ids. The documents' lines are dealt to the shards by key
+and probe the arrays, whose counts decide; texts meet the positions of the lines to drop. A
+key in so many documents that its shard would become large is probed where the lines are: at
+most ``HEAVY_KEYS`` such keys exist by the way their limit is set, and their arrays are
+broadcast.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
     held = lines.groupBy("key", "mark", "id").agg(F.sum("first").alias("texts"), F.count("*").alias("rows"))
     docs_of = F.sum(F.when(F.col("id").isNull(), F.col("texts")).otherwise(1))
     keys = held.groupBy("key", "mark").agg(docs_of.alias("docs"), F.sum("rows").alias("rows"), F.max("id").alias("keeper"))
-    keys = stored(keys.filter(F.col("docs") >= min_docs), "line-keys")
+    keys = stored(keys, "line-keys")
     n = lines.count()
     shards = max(1, n // SHARD_LINES)
     # Keys above this limit hold n lines together at most, so there are HEAVY_KEYS of them at most.
