@@ -1,4 +1,9 @@
-"""Connected components of a table of links, by smallest labels and pointer jumping."""
+"""Connected components of a table of links, by smallest labels and pointer jumping.
+
+``components`` takes any links. Where links come in rounds, ``roots`` labels a forest, and
+``merged`` adds links to labels: only those between different labels count, so the graph it
+works on gets small.
+"""
 
 from __future__ import annotations
 
@@ -26,3 +31,27 @@ def components(links: DataFrame) -> DataFrame:
         labels = stored(labels.select("node", "label", (F.col("label") != F.col("old")).alias("changed")), "labels")
         if labels.filter("changed").isEmpty():
             return labels.select("node", "label")
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """``parents``: ``node`` and its only ``parent``, a smaller one. Returns ``node`` and the ``label`` where its parents end."""
+    labels = stored(parents.select("node", F.col("parent").alias("label")), "labels")
+    while True:
+        up = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        jumped = labels.select("node", "label").join(up, F.col("label") == F.col("at"), "left")
+        labels = stored(jumped.select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("changed")), "labels")
+        if labels.filter("changed").isEmpty():
+            return labels.select("node", "label")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after ``links`` (``a``, ``b``) are added to those that made ``labels``; a node without a label is its own."""
+    of = {x: labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "ab"}
+    ends = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    ends = stored(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct(), "ends")
+    if ends.isEmpty():
+        return labels
+    top = components(ends).select(F.col("node").alias("at"), F.col("label").alias("least"))
+    # Labels are nodes themselves, also where no row says so.
+    own = labels.union(top.select("at", "at")).groupBy("node").agg(F.min("label").alias("label"))
+    return stored(own.join(top, F.col("label") == F.col("at"), "left").select("node", F.coalesce("least", "label").alias("label")), "labels")

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableset.llm.common import WordHashes, stored, words_of
-from tableset.llm.components import components
-from tableset.operators.spread import lookup
+from tableset.llm.components import merged, roots
+from tableset.operators.spread import by_keys, lookup
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Shingles whose values are computed at once.
@@ -253,7 +253,9 @@ def near_duplicates(
     shared = firsts.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     rest = stored(firsts.join(shared, "key").select("key", "node"), "buckets")
     nodes = rest.select(F.col("node").alias("id")).distinct()
-    texts = stored(thin.join(nodes, "id").distinct(), "texts")
+    # Only texts of nodes are shuffled, if there are not very many nodes; a text that an id has several times goes once.
+    some = by_keys(thin, nodes, ["id"], "left_semi").groupBy("id", F.xxhash64("text").alias("h"))
+    texts = stored(some.agg(F.first("text").alias("text")).select("id", "text"), "texts")
     text_a, text_b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     lead = rest.groupBy("key").agg(F.min("node").alias("lead"))
@@ -266,17 +268,16 @@ def near_duplicates(
     # Every node meets the smallest of its leaders first. Alike members are in one component
     # then, and of the other leaders only those of other components are left to compare.
     found = compared(led.groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"))
-    labels = components(found)
-    own, other = labels.select("node", "label"), labels.select(F.col("node").alias("lead"), F.col("label").alias("of_lead"))
-    apart = led.select("lead", "node").distinct().join(own, "node", "left")
-    apart = lookup(apart, other, ["lead"], "node").filter(F.coalesce("label", "node") != F.coalesce("of_lead", "lead"))
-    more = compared(apart.select(F.col("lead").alias("a"), F.col("node").alias("b")))
-    if not more.isEmpty():
-        found = found.union(more)
-        labels = components(found)
+    labels = roots(found.select(F.col("b").alias("node"), F.col("a").alias("parent")).distinct())
+    other = labels.select(F.col("node").alias("lead"), F.col("label").alias("of_lead"))
+    # A member meets the same leader in many bands: labels are looked up for pairs, not for bands.
+    pairs = lookup(stored(led.select("lead", "node").distinct(), "led-pairs").join(labels, "node", "left"), other, ["lead"], "node")
+    apart = stored(pairs.filter(F.coalesce("label", "node") != F.coalesce("of_lead", "lead")).select("lead", "node"), "apart")
+    labels = merged(labels, compared(apart.select(F.col("lead").alias("a"), F.col("node").alias("b"))))
 
     # Leaders have met all other members. A bucket with two labels or more among the rest is open.
-    left = led.select("key", "node")
+    still = by_keys(led, apart, ["lead", "node"], "left_semi").select("key").distinct()
+    left = by_keys(led, still, ["key"], "left_semi").select("key", "node")
     for _ in range(LEADERS):
         left = stored(_open(left, labels), "left")
         large = left.filter(F.col("members") > BLOCK)
@@ -284,15 +285,13 @@ def near_duplicates(
             break
         leads = large.filter("label <> top").groupBy("key").agg(F.min(F.struct("node", "label")).alias("lead"))
         met = large.join(leads, "key").filter(F.col("label") != F.col("lead.label"))
-        found = found.union(compared(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()))
-        labels = components(found)
+        labels = merged(labels, compared(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()))
         left = left.join(leads, "key", "left").filter("lead is null or node <> lead.node").select("key", "node")
     else:
         left = stored(_open(left, labels), "left")
     members = _blocks(left).join(texts.withColumnRenamed("id", "node"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     more = stored(members.mapInPandas(_block_links(width, percent), "a long, b long").distinct(), "more-links")
-    if not more.isEmpty():
-        labels = components(found.union(more))
+    labels = merged(labels, more)
 
     named = sets.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     named = named.join(labels.select(F.col("node").alias("at"), "label"), F.col("node") == F.col("at"), "left")
