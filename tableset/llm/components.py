@@ -2,7 +2,7 @@
 
 ``components`` takes any links. Where links come in rounds, ``roots`` labels a forest, and
 ``merged`` adds links to labels: only those between different labels count, so the graph it
-works on gets small.
+works on gets small. Its two steps are ``moves``, which labels change, and ``with_moves``.
 """
 
 from __future__ import annotations
@@ -44,14 +44,25 @@ def roots(parents: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after ``links`` (``a``, ``b``) are added to those that made ``labels``; a node without a label is its own."""
+def moves(labels: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Labels that ``links`` (``a``, ``b``) join, each as ``label`` with the ``least`` of those it is joined with; None if
+    there are none. A node without a label is its own."""
     of = {x: labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "ab"}
     ends = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
     ends = stored(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct(), "ends")
     if ends.isEmpty():
-        return labels
-    top = components(ends).select(F.col("node").alias("at"), F.col("label").alias("least"))
+        return None
+    return components(ends).select(F.col("node").alias("label"), F.col("label").alias("least"))
+
+
+def with_moves(labels: DataFrame, changed: DataFrame) -> DataFrame:
+    """``labels`` after ``moves``."""
     # Labels are nodes themselves, also where no row says so.
-    own = labels.union(top.select("at", "at")).groupBy("node").agg(F.min("label").alias("label"))
-    return stored(own.join(top, F.col("label") == F.col("at"), "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+    own = labels.union(changed.select("label", "label")).groupBy("node").agg(F.min("label").alias("label"))
+    return stored(own.join(changed, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after ``links`` (``a``, ``b``) are added to those that made ``labels``."""
+    changed = moves(labels, links)
+    return labels if changed is None else with_moves(labels, changed)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableset.llm.common import WordHashes, stored, words_of
-from tableset.llm.components import merged, roots
+from tableset.llm.components import merged, moves, roots, with_moves
 from tableset.operators.spread import by_keys, lookup
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -203,19 +203,21 @@ def _block_links(width: int, percent: int):
     return links
 
 
-def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets with two labels or more, with ``label``, number of ``members``,
-    ``top`` (label of the most members) and their number ``tops``. Bands often gather the same
-    members: one bucket of them is enough."""
-    left = stored(left.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+def _open(left: DataFrame) -> DataFrame:
+    """Members (``key``, ``node``, ``label``) of the buckets with two labels or more, with number of ``members``,
+    ``top`` (label of the most members), their number ``tops``, and ``lead`` (in buckets of more than a block the
+    first member outside of them, and its label). Bands often gather the same members: one bucket of them is enough."""
     digest = (F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")))
-    each = left.groupBy("key", "label").agg(F.count("*").alias("n"), *(d.alias(f"s{i}") for i, d in enumerate(digest)))
+    each = left.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("node").alias("node"), *(d.alias(f"s{i}") for i, d in enumerate(digest)))
     buckets = each.groupBy("key").agg(
         F.sum("n").alias("members"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most"), *(F.sum(f"s{i}").alias(f"s{i}") for i in (0, 1))
     )
     buckets = buckets.filter("labels > 1").groupBy("members", "s0", "s1").agg(F.min(F.struct("key", "most")).alias("one"))
-    buckets = buckets.select("one.key", "members", F.col("one.most.label").alias("top"), F.col("one.most.n").alias("tops"))
-    return left.join(buckets, "key")
+    buckets = stored(buckets.select("one.key", "members", F.col("one.most.label").alias("top"), F.col("one.most.n").alias("tops")), "open")
+    # Leaders are found among components of buckets, so only one join takes all members.
+    outside = lookup(each, buckets.filter(F.col("members") > BLOCK).select("key", "top"), ["key"], "label", how="inner").filter("label <> top")
+    leads = outside.groupBy("key").agg(F.min(F.struct("node", "label")).alias("lead"))
+    return lookup(left.select("key", "node", "label"), stored(buckets.join(leads, "key", "left"), "open-led"), ["key"], "node", how="inner")
 
 
 def _blocks(left: DataFrame) -> DataFrame:
@@ -278,17 +280,21 @@ def near_duplicates(
     # Leaders have met all other members. A bucket with two labels or more among the rest is open.
     still = by_keys(led, apart, ["lead", "node"], "left_semi").select("key").distinct()
     left = by_keys(led, still, ["key"], "left_semi").select("key", "node")
+    # All members of all bands get labels once; later rounds touch them only if labels have changed.
+    left = stored(left.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    left = stored(_open(left), "left")
     for _ in range(LEADERS):
-        left = stored(_open(left, labels), "left")
-        large = left.filter(F.col("members") > BLOCK)
+        large = left.filter("lead is not null")
         if large.isEmpty():
             break
-        leads = large.filter("label <> top").groupBy("key").agg(F.min(F.struct("node", "label")).alias("lead"))
-        met = large.join(leads, "key").filter(F.col("label") != F.col("lead.label"))
-        labels = merged(labels, compared(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()))
-        left = left.join(leads, "key", "left").filter("lead is null or node <> lead.node").select("key", "node")
-    else:
-        left = stored(_open(left, labels), "left")
+        met = large.filter("label <> lead.label").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        changed = moves(labels, compared(met.distinct()))
+        left = left.filter("lead is null or node <> lead.node").select("key", "node", "label")
+        if changed is not None:
+            labels = with_moves(labels, changed)
+            left = lookup(left, changed, ["label"], "node").select("key", "node", F.coalesce("least", "label").alias("label"))
+            left = stored(left, "labelled")
+        left = stored(_open(left), "left")
     members = _blocks(left).join(texts.withColumnRenamed("id", "node"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     more = stored(members.mapInPandas(_block_links(width, percent), "a long, b long").distinct(), "more-links")
     labels = merged(labels, more)

@@ -188,6 +188,31 @@ def test_hot_buckets_emit_few_copies_of_their_texts(documents, spark, monkeypatc
     assert {r.i for r in out} == {0}
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_members_of_all_bands_are_labelled_once_unless_labels_change(documents, monkeypatch, alike):
+    """Leaders without a link leave labels as they are: the members of large buckets aren't joined with them again."""
+    monkeypatch.setattr(minmax_dedup, "BLOCK", 4)
+    common, n, bands, made = [f"w{i}" for i in range(40)], 40, 8, []
+    texts = [" ".join([*common, *(f"own{i}-{j}" for j in range(20))]) for i in range(n)]
+    if alike:
+        texts += [" ".join([*common, *(f"all{j}" for j in range(20)), f"own{i}"]) for i in range(n)]
+    rows = list(enumerate(texts))
+    df = documents([(i, t, "s") for i, t in rows])
+    join = type(df).join
+
+    def counted(left, right, on=None, how=None):
+        out = join(left, right, on, how)
+        if str(on) in ("node", "['node']") and how == "left":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "join", counted)
+    got = minmax_dedup.near_duplicates(df, width=1, bands=bands, rows=1).collect()
+    assert {(g.id, g.n_shingles): g.component_id for g in got} == brute_components(rows, 1)
+    # Once for pairs of member and leader, once for members.
+    assert len(made) == 2 and sum(made) <= 2 * bands * len(rows)
+
+
 def test_near_duplicates_of_odd_tables(odd, empty):
     got = minmax_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
