@@ -199,7 +199,8 @@ class Store:
         rows = latest_entries(self._log_rows(folder, tail))
         rows.write.partitionBy(*LOG_FOLDERS).parquet(f"{self.root}/latest_rows/folder={fresh}")
         whole = [(fresh, first, last) for first, last in ranges({*covered, *tail})]
-        self._latest.write(self.spark.createDataFrame(whole, COVERED), base)
+        # A row per run of batches: one file keeps them in order, several are listed in any.
+        self._latest.write(self.spark.createDataFrame(whole, COVERED).coalesce(1), base)
         return True
 
     def _covered(self) -> tuple[int, str | None, set[int], list[int]]:

@@ -71,6 +71,19 @@ def test_a_batch_that_commits_late_is_not_lost(store):
     assert {p for p in os.listdir(f"{store.root}/changelog") if p.startswith("batch")} == {f"batch={i}" for i in range(1, 5)}
 
 
+def test_covered_batches_are_kept_in_order_in_one_file(store):
+    for i in range(1, 10):
+        if i % 2:
+            append(store, ("index_set", str(i), "e", str(i), 1))
+        else:
+            os.makedirs(f"{store.root}/changelog/batch={i}")
+            open(f"{store.root}/batches/{i}", "w").close()
+    assert store.compact_log()
+    covered = store._latest.read()
+    assert [tuple(r) for r in covered.select("first", "last").collect()] == [(i, i) for i in range(1, 10, 2)]
+    assert len(covered.inputFiles()) == 1
+
+
 def test_two_compactions_from_one_state(store, monkeypatch):
     append(store, ("index_set", "a", "e", "1", 1))
     write = store._latest.write
